@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.llm import decontaminate, token_count, token_files
+from quillspark.llm import bpe, decontaminate, simhash, token_count, token_files
 
 
 def queries() -> dict:
@@ -10,6 +10,8 @@ def queries() -> dict:
     return {
         "op1_token_counts": token_count.op1_token_counts,
         "op6_token_files": token_files.op6_token_files,
+        "op8_byte_bpe": bpe.op8_byte_bpe,
+        "op10_simhash": simhash.op10_simhash,
         "op7_decontamination": decontaminate.op7_decontamination,
     }
 
