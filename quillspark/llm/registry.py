@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.llm import bpe, decontaminate, line_dedup, simhash, token_count, token_files
+from quillspark.llm import bpe, decontaminate, line_dedup, secret_scan, simhash, token_count, token_files
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op6_token_files": token_files.op6_token_files,
         "op8_byte_bpe": bpe.op8_byte_bpe,
         "op9_line_dedup": line_dedup.op9_line_dedup,
+        "op4_secret_scan": secret_scan.op4_secret_scan,
         "op10_simhash": simhash.op10_simhash,
         "op7_decontamination": decontaminate.op7_decontamination,
     }
@@ -20,5 +21,6 @@ def queries() -> dict:
 def oracle_sql() -> dict:
     """DuckDB SQL by query name."""
     return {
+        "op4_secret_scan": secret_scan.OP4_SQL,
         "op9_line_dedup": line_dedup.OP9_SQL,
     }
