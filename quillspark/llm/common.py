@@ -22,15 +22,15 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch that hold few enough bytes of text, one row at least."""
     texts = batch.column(column)
     sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)
     ends = np.cumsum(sizes)
     start, n = 0, len(sizes)
     while start < n:
-        limit = (ends[start - 1] if start else 0) + SLICE_BYTES
-        stop = min(max(int(np.searchsorted(ends, limit, side="right")), start + 1), start + SLICE_ROWS, n)
+        most = (ends[start - 1] if start else 0) + limit
+        stop = min(max(int(np.searchsorted(ends, most, side="right")), start + 1), start + SLICE_ROWS, n)
         yield batch.slice(start, stop - start)
         start = stop
 
