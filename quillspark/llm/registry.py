@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.llm import bpe, decontaminate, line_dedup, secret_scan, simhash, substring_dedup, token_count, token_files
+from quillspark.llm import bpe, decontaminate, embed_dedup, line_dedup, secret_scan, simhash, substring_dedup, token_count, token_files
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op9_line_dedup": line_dedup.op9_line_dedup,
         "op4_secret_scan": secret_scan.op4_secret_scan,
         "op5_substring_dedup": substring_dedup.op5_substring_dedup,
+        "op3_embedding_dedup": embed_dedup.op3_embedding_dedup,
         "op10_simhash": simhash.op10_simhash,
         "op7_decontamination": decontaminate.op7_decontamination,
     }
