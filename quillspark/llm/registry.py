@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.llm import bpe, decontaminate, embed_dedup, line_dedup, secret_scan, simhash, substring_dedup, token_count, token_files
+from quillspark.llm import bpe, decontaminate, embed_dedup, line_dedup, secret_scan, simhash, substring_dedup, token_count, token_files, toxicity
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op4_secret_scan": secret_scan.op4_secret_scan,
         "op5_substring_dedup": substring_dedup.op5_substring_dedup,
         "op3_embedding_dedup": embed_dedup.op3_embedding_dedup,
+        "op2_toxicity": toxicity.op2_toxicity,
         "op10_simhash": simhash.op10_simhash,
         "op7_decontamination": decontaminate.op7_decontamination,
     }
