@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from quillspark.plans import retrieval
+
+_MODULES = (retrieval,)
+
 
 def queries() -> dict:
-    return {}
+    """Query functions of (spark, sf_dir) by name."""
+    return {name: f for module in _MODULES for name, f in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    """DuckDB SQL by query name."""
+    return {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
