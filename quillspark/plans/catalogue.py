@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillspark.plans import retrieval
+from quillspark.plans import evaluation, retrieval
 
-_MODULES = (retrieval,)
+_MODULES = (retrieval, evaluation)
 
 
 def queries() -> dict:
