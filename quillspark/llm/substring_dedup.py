@@ -200,6 +200,24 @@ def anchored_records(h: np.ndarray, bounds: np.ndarray, window: int = WINDOW):
     return begins_doc, start, count, anchor_name[start].view(np.int64), context.view(np.int64)
 
 
+def _repeated(x: np.ndarray, y: np.ndarray, ids: pa.Array, t: np.ndarray, row: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Which places, of rows ``row`` of a batch, have the values (x, y) of an earlier place.
+
+    The same row twice in a batch is one place, not a repeat of itself.
+    """
+    again = np.zeros(len(x), dtype=bool)
+    if not len(x):
+        return again
+    null, key, t = np.asarray(ids.is_null())[row], np.asarray(ids.fill_null(0))[row], t[row]
+    order = np.lexsort((start, t, key, ~null, y, x))
+    later = np.zeros(len(x), dtype=bool)
+    later[1:] = (x[order[1:]] == x[order[:-1]]) & (y[order[1:]] == y[order[:-1]])
+    top = order[np.maximum.accumulate(np.where(later, 0, np.arange(len(x))))]
+    one = (key[order] == key[top]) & (t[order] == t[top]) & (null[order] == null[top]) & (start[order] == start[top])
+    again[order] = later & ~one
+    return again
+
+
 RECORDS = "name long, context long, doc_id long, t long, start int, n int, again boolean"
 
 
@@ -217,21 +235,10 @@ def _records(source: DataFrame, window: int) -> DataFrame:
         flat: list[bytes] = [x for w in words for x in w]
         doc, start, n, name, context = anchored_records(word_hashes(flat), bounds, window)
         ids, t = part.column("doc_id"), np.asarray(part.column("t"))
-        null = np.asarray(ids.is_null())[doc]
-        key = np.asarray(ids.fill_null(0))[doc]
         local = (start - bounds[doc]).astype(np.int32)
-        order = np.lexsort((local, t[doc], key, ~null, context, name))
-        again = np.zeros(len(order), dtype=bool)
-        if len(order):
-            again[order[1:]] = (name[order[1:]] == name[order[:-1]]) & (context[order[1:]] == context[order[:-1]])
-            # the same row twice in a slice is one place, not a repeat of itself
-            head = np.maximum.accumulate(np.where(again[order], 0, np.arange(len(order))))
-            top = order[head]
-            one = np.zeros(len(order), dtype=bool)
-            one[order] = (key[order] == key[top]) & (t[doc[order]] == t[doc[top]]) & (null[order] == null[top]) & (local[order] == local[top])
-            again &= ~one
+        again = _repeated(name, context, ids, t, doc, local)
         # settled repeats go along under names of their own, so that no task gets many
-        shown = np.where(again, _mix(key.astype(np.uint64) * _B1 + local.astype(np.uint64) + _U(1)).view(np.int64), name)
+        shown = np.where(again, _mix(context.view(np.uint64) + (doc * 64 + local).astype(np.uint64)).view(np.int64), name)
         return pa.RecordBatch.from_arrays(
             [pa.array(shown), pa.array(context), ids.take(pa.array(doc)), pa.array(t[doc]), pa.array(local), pa.array(n.astype(np.int32)), pa.array(again)],
             names=["name", "context", "doc_id", "t", "start", "n", "again"],
@@ -241,7 +248,10 @@ def _records(source: DataFrame, window: int) -> DataFrame:
 
 
 def _window_hashes(joined: DataFrame, window: int) -> DataFrame:
-    """The windows of unsettled records, from the texts: h1, h2, doc_id, t, start."""
+    """The windows of unsettled records, from the texts: h1, h2, doc_id, t, start, again.
+
+    A window that a task has seen before goes along as settled, under hashes of its own.
+    """
     ship_package(joined.sparkSession)
 
     def run(batches):
@@ -256,10 +266,14 @@ def _window_hashes(joined: DataFrame, window: int) -> DataFrame:
                     doc.append(np.full(len(at), k))
                     starts.append(at)
                 if doc:
-                    take = pa.array(np.concatenate(doc))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h1).view(np.int64)), pa.array(np.concatenate(h2).view(np.int64)), part.column("doc_id").take(take), part.column("t").take(take), pa.array(np.concatenate(starts).astype(np.int32))], names=["h1", "h2", "doc_id", "t", "start"])
+                    take, start = np.concatenate(doc), np.concatenate(starts).astype(np.int32)
+                    x, y = np.concatenate(h1), np.concatenate(h2)
+                    again = _repeated(x, y, part.column("doc_id"), np.asarray(part.column("t")), take, start)
+                    x = np.where(again, _mix(y + (take * 64 + start).astype(np.uint64)), x)
+                    rows = pa.array(take)
+                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), part.column("doc_id").take(rows), part.column("t").take(rows), pa.array(start), pa.array(again)], names=["h1", "h2", "doc_id", "t", "start", "again"])
 
-    return joined.mapInArrow(run, "h1 long, h2 long, doc_id long, t long, start int")
+    return joined.mapInArrow(run, "h1 long, h2 long, doc_id long, t long, start int, again boolean")
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -283,10 +297,9 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
     same = lambda x, y: F.col(f"{x}.doc_id").eqNullSafe(F.col(f"{y}.doc_id")) & (F.col(f"{x}.t") == F.col(f"{y}.t"))
     open_ = held.filter("not again").groupBy("doc_id", "t").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
     texts = source.alias("d").join(open_.alias("o"), same("d", "o")).select("d.doc_id", "d.t", "d.text", "o.spans")
-    windows = written(_window_hashes(texts, window), "windows")
-    place = F.struct("doc_id", "t", "start")
-    first = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("k")).filter("k > 1").select("h1", "h2", "first")
-    later = windows.join(first, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("first"))).select("doc_id", "t", "start", F.lit(1).alias("n"))
+    # one pass: the texts' exchange serves this join and the last one
+    windows = _window_hashes(texts, window).withColumn("r", F.dense_rank().over(Window.partitionBy("h1", "h2").orderBy("doc_id", "t", "start")))
+    later = windows.filter("again or r > 1").select("doc_id", "t", "start", F.lit(1).alias("n"))
     gone = held.filter("again").select("doc_id", "t", "start", "n").union(later).groupBy("doc_id", "t").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
     final = source.alias("d").join(gone.alias("g"), same("d", "g"), "left").select("d.doc_id", "d.text", "g.spans")
 
