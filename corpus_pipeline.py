@@ -34,7 +34,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, less the lines of later repeated runs."""
-    return _documents(dedup_lines(docs))
+    return _documents(dedup_lines(docs.select(*COLUMNS)))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +46,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents with windows of two benchmark items or with mostly hit words; cut the hit spans from the others."""
-    found = find_contamination(docs, table(spark, sf_dir, "benchmark"), with_text=True).filter("n_hit > 0").select("doc_id", "n_words", "n_hit", F.size("item_ids").alias("n_items"), "clean_text")
-    joined = docs.join(found, "doc_id", "left")
+    found = find_contamination(docs, table(spark, sf_dir, "benchmark"), with_text=True).filter("n_hit > 0")
+    hit = found.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "n_words", "n_hit", F.size("item_ids").alias("n_items"), "clean_text").dropDuplicates(["d", "k"])
+    own = docs.select(*COLUMNS)
+    joined = own.join(hit, F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("k")), "left")
     clean = joined.filter(F.col("n_hit").isNull() | ((F.col("n_items") < 2) & (2 * F.col("n_hit") < F.col("n_words"))))
     return _documents(clean.withColumn("text", F.when(F.col("n_hit").isNotNull(), F.col("clean_text")).otherwise(F.col("text"))))
 

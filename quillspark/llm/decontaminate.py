@@ -78,7 +78,15 @@ def _word_spans(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text)]
 
 
-SCHEMA = "doc_id long, n_words long, n_hit long, item_ids array<string>, clean_text string"
+SCHEMA = "doc_id long, text_key long, n_words long, n_hit long, item_ids array<string>, clean_text string"
+
+
+def text_key(text: str | None) -> int:
+    """Spark's xxhash64 of a text column, by which rows of one doc_id are told apart."""
+    if text is None:
+        return 42
+    value = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), 42)
+    return value - (1 << 64) if value >> 63 else value
 
 
 def _stripped(text: str | None, marks: np.ndarray) -> str | None:
@@ -109,7 +117,7 @@ def _small_benchmark(benchmark: DataFrame) -> bool:
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", with_text: bool = False) -> DataFrame:
     """Occurrences of benchmark windows in documents.
 
-    Returns doc_id, n_words, n_hit, item_ids (distinct, as strings, sorted as
+    Returns doc_id, text_key (Spark's xxhash64 of the text), n_words, n_hit, item_ids (distinct, as strings, sorted as
     strings) and, if asked for, clean_text without the hit spans. A null text
     has no words and its clean text is null; empty tables give no hits; repeated rows
     are judged each on its own; an item with a null id counts under the name
@@ -129,15 +137,16 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
         index = NgramIndex(shared.value, window)
 
         def step(ids, texts):
-            words, hit, found, clean = [], [], [], []
+            keys, words, hit, found, clean = [], [], [], [], []
             for text in texts:
+                keys.append(text_key(text))
                 w = words_of(text)
                 marks, occurring = index.hits(w)
                 words.append(len(w))
                 hit.append(int(marks.sum()))
                 found.append(sorted(occurring))
                 clean.append(_stripped(text, marks) if with_text else None)
-            return {"doc_id": ids, "n_words": words, "n_hit": hit, "item_ids": found, "clean_text": clean}
+            return {"doc_id": ids, "text_key": keys, "n_words": words, "n_hit": hit, "item_ids": found, "clean_text": clean}
 
         return step
 
@@ -173,12 +182,12 @@ def _joined(source: DataFrame, items: DataFrame, window: int, with_text: bool) -
     seen = keyed.mapInArrow(lambda b: grams(b, sizes), "doc_id long, text_key long, at int, m int, h binary") if sizes else keyed.select("doc_id", "text_key", F.lit(0).alias("at"), F.lit(0).alias("m"), F.lit(b"").alias("h")).limit(0)
     hits = seen.distinct().join(tests.drop("m"), "h").groupBy("doc_id", "text_key").agg(F.collect_set("item_id").alias("item_ids"), F.collect_set(F.struct("at", "m")).alias("spans"))
     k, h = keyed.alias("k"), hits.alias("h")
-    joined = k.join(h, F.col("k.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("k.text_key") == F.col("h.text_key")), "left").select("k.doc_id", "k.text", "h.item_ids", "h.spans")
+    joined = k.join(h, F.col("k.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("k.text_key") == F.col("h.text_key")), "left").select("k.doc_id", "k.text_key", "k.text", "h.item_ids", "h.spans")
 
     def finish(batches):
         for batch in batches:
             words, hit, found, clean = [], [], [], []
-            for text, ids, spans in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
+            for text, ids, spans in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)), strict=True):
                 marks = np.zeros(len(words_of(text)), dtype=bool)
                 for x in spans or []:
                     marks[x["at"] : x["at"] + x["m"]] = True
@@ -186,7 +195,7 @@ def _joined(source: DataFrame, items: DataFrame, window: int, with_text: bool) -
                 hit.append(int(marks.sum()))
                 found.append(sorted(ids or []))
                 clean.append(_stripped(text, marks) if with_text else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.int64()), pa.array(hit, pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(clean, pa.string())], names=["doc_id", "n_words", "n_hit", "item_ids", "clean_text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.int64()), pa.array(hit, pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(clean, pa.string())], names=["doc_id", "text_key", "n_words", "n_hit", "item_ids", "clean_text"])
 
     return joined.mapInArrow(finish, SCHEMA)
 

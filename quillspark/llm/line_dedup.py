@@ -69,18 +69,18 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", t
     are. Equal rows are each other's copy only under different doc_ids: repeated rows of one doc_id and text
     keep the same lines. A null doc_id comes before all others. An empty table gives no rows.
     """
-    found = repeated_windows(docs, window, id_col, text_col).select(F.col("doc_id").alias("__d"), F.col("t").alias("__t"), F.col("starts").alias("__s"))
-    keyed = docs.withColumn("__k", F.col(id_col).cast("long")).withColumn("__x", F.xxhash64(F.col(text_col).cast("string")))
-    joined = keyed.join(found, F.col("__k").eqNullSafe(F.col("__d")) & (F.col("__x") == F.col("__t")), "left").drop("__d", "__t", "__k", "__x")
+    found = repeated_windows(docs, window, id_col, text_col).select(F.col("doc_id").alias("__qs_d"), F.col("t").alias("__qs_t"), F.col("starts").alias("__qs_s"))
+    keyed = docs.withColumn("__qs_k", F.col(id_col).cast("long")).withColumn("__qs_x", F.xxhash64(F.col(text_col).cast("string")))
+    joined = keyed.join(found, F.col("__qs_k").eqNullSafe(F.col("__qs_d")) & (F.col("__qs_x") == F.col("__qs_t")), "left").drop("__qs_d", "__qs_t", "__qs_k", "__qs_x")
     lines = F.split(F.col(text_col).cast("string"), "\n", -1)
     # the positions that the later windows cover, and those that stay
-    hit = F.array_sort(F.array_distinct(F.flatten(F.transform("__s", lambda s: F.sequence(s, s + F.lit(window - 1))))))
-    marked = joined.withColumn("__g", hit)
-    both = F.array(F.struct(lines.alias("l"), F.array_except(F.sequence(F.lit(0), F.size(lines) - F.lit(1)), F.col("__g")).alias("k")))
+    hit = F.array_sort(F.array_distinct(F.flatten(F.transform("__qs_s", lambda s: F.sequence(s, s + F.lit(window - 1))))))
+    marked = joined.withColumn("__qs_g", hit)
+    both = F.array(F.struct(lines.alias("l"), F.array_except(F.sequence(F.lit(0), F.size(lines) - F.lit(1)), F.col("__qs_g")).alias("k")))
     # the one struct binds the lines, so they are split once and not at each position
     rest = F.transform(both, lambda x: F.array_join(F.transform(x["k"], lambda p: F.get(x["l"], p)), "\n"))
-    out = marked.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long")).withColumn("n_removed", F.coalesce(F.size("__g"), F.lit(0)).cast("long"))
-    return out.withColumn(text_col, F.when(F.col("__g").isNotNull(), F.get(rest, F.lit(0))).otherwise(F.col(text_col))).drop("__s", "__g")
+    out = marked.withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long")).withColumn("n_removed", F.when(F.col("__qs_g").isNull(), 0).otherwise(F.size("__qs_g")).cast("long"))
+    return out.withColumn(text_col, F.when(F.col("__qs_g").isNotNull(), F.get(rest, F.lit(0))).otherwise(F.col(text_col))).drop("__qs_s", "__qs_g")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
