@@ -1,10 +1,12 @@
 """Byte-level BPE by merge replay over the distinct pre-tokens of a corpus slice.
 
-The distinct pre-tokens of a slice of the corpus are laid out as one linked list
-of byte tokens. An inverted index maps each mergeable pair to the positions where it stands.
-Merges are replayed in rank order over all words at once: a merge visits only
-its positions in the index, and only the touched neighbours enter the index anew.
-Slices are whole Arrow batches, so no pre-token is shuffled and a lost task is
+The distinct pre-tokens of a slice of the corpus are laid out as one sequence of byte
+tokens, with an index of the rank of the pair at each position, filled pair by distinct pair. Merges
+are replayed in rank order over all words at once. Words do not touch each other, so
+a wave takes from the index each word's pair of the lowest rank, merges it, and looks up only
+the pairs of the touched neighbours anew. Long words, which would need many waves, are replayed
+one merge at a time: a heap of ranks over an inverted index from pair to positions.
+Slices are parts of Arrow batches, so no pre-token is shuffled and a lost task is
 encoded again from its own rows.
 """
 
@@ -13,6 +15,7 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +32,15 @@ from quillspark.sources.tables import table
 RANKS = "byte_bpe_multi_50k.tiktoken"
 PATTERN = regex.compile(public_tokenizers.PATTERN)
 
-#: Bounds of a worker's cache: entries, and bytes of a pre-token that is kept.
-CACHE_ENTRIES = 1 << 20
-CACHE_BYTES = 64
+#: Units, as the pattern leaves white space: each pre-token lies within one.
+UNITS = re.compile(r"\s+(?!\S)| ?\S+|\s")
+#: Characters that are white space to one of the two regular expression engines only; a text that holds one is split as a whole.
+ODD = re.compile("[\x1c-\x1f\x85\u180e]")
+#: Bounds of a worker's cache: entries, and characters of a unit that is kept.
+CACHE_ENTRIES = 1 << 17
+CACHE_CHARS = 48
+#: Bytes of a word that is replayed in waves.
+WAVE_BYTES = 96
 
 _caches: dict[str, dict[str, bytes]] = {}
 
@@ -39,24 +48,76 @@ _caches: dict[str, dict[str, bytes]] = {}
 class Bpe:
     """A rank file: encoding by merge replay, decoding by a table of bytes."""
 
+    NONE = np.int64(1) << 40
+
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.single = [ranks[bytes([b])] for b in range(256)]
-        self._pairs: dict[tuple[int, int], int] = {}
+        # every pair of tokens whose bytes together are a token: at most as many as the vocabulary has bytes
+        pairs = {(ranks[t[:k]], ranks[t[k:]]): r for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
+        self.pairs = pairs
+        codes = np.array([(a << 32) | b for a, b in pairs] or [-1], dtype=np.int64)
+        order = np.argsort(codes)
+        self.codes, self.results = codes[order], np.array(list(pairs.values()) or [0], dtype=np.int64)[order]
+
+    def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair, or NONE."""
+        code, back = np.unique((left << 32) | right, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        return np.where(self.codes[at] == code, self.results[at], self.NONE)[back]
 
     def merged(self, left: int, right: int) -> int:
         """The id that a pair of ids merges to, or -1."""
-        key = (left, right)
-        got = self._pairs.get(key)
-        if got is None:
-            if len(self._pairs) > 4_000_000:
-                self._pairs.clear()
-            got = self._pairs[key] = self.ranks.get(self.bytes_of[left] + self.bytes_of[right], -1)
-        return got
-
-    def encode_words(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of each word, by replaying the merges over all of them together.
+        return self.pairs.get((left, right), -1)
+
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word as little-endian uint32."""
+        short = [k for k, w in enumerate(words) if len(w) <= WAVE_BYTES]
+        out = dict(zip(short, self.in_waves([words[k] for k in short]), strict=True))
+        long = [k for k in range(len(words)) if k not in out]
+        out |= {k: np.array(ids, dtype="<u4").tobytes() for k, ids in zip(long, self.one_by_one([words[k] for k in long]), strict=True)}
+        return [out[k] for k in range(len(words))]
+
+    def in_waves(self, words: list[bytes]) -> list[bytes]:
+        """The merges of all words together, a wave at a time."""
+        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        ids = np.array(self.single, dtype=np.int64)[np.frombuffer(b"".join(words), dtype=np.uint8)]
+        word = np.repeat(np.arange(len(words)), lengths)
+        done_ids, done_word = [], []
+        rank = np.full(len(ids), self.NONE)
+        inside = np.flatnonzero(word[1:] == word[:-1])
+        rank[inside] = self.ranks_of(ids[inside], ids[inside + 1])
+        while len(ids):
+            start = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+            size = np.diff(np.append(start, len(word)))
+            least = np.minimum.reduceat(rank, start)
+            going = np.repeat(least < self.NONE, size)
+            done_ids.append(ids[~going])
+            done_word.append(word[~going])
+            if not going.any():
+                break
+            at = np.flatnonzero(rank == np.repeat(np.where(least < self.NONE, least, -1), size))
+            at = at[np.concatenate(([True], word[at[1:]] != word[at[:-1]]))]  # the leftmost of each word
+            ids[at] = rank[at]
+            going[at + 1] = False
+            place = (np.cumsum(going) - 1)[at]
+            ids, word, rank = ids[going], word[going], rank[going]
+            touched = np.concatenate([place, place[place > 0] - 1])
+            rank[touched] = self.NONE
+            pairs = touched[touched + 1 < len(word)]
+            pairs = pairs[word[pairs] == word[pairs + 1]]
+            rank[pairs] = self.ranks_of(ids[pairs], ids[pairs + 1])
+        if not done_ids:
+            return [b""] * len(words)
+        ids, word = np.concatenate(done_ids), np.concatenate(done_word)
+        order = np.argsort(word, kind="stable")
+        data = ids[order].astype("<u4").tobytes()
+        ends = np.cumsum(np.bincount(word, minlength=len(words))) * 4
+        return [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)] if words else []
+
+    def one_by_one(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of each word, by replaying the merges over all of them from an inverted index.
 
         Ranks are ids, so a pair merges to the id that is its rank. Pairs wait in
         a heap of ranks; the positions of a rank are visited from left to right.
@@ -149,7 +210,7 @@ def load_ranks(name: str) -> Bpe:
 
 
 class TextEncoder:
-    """Ids of whole texts, through a bounded cache of pre-tokens."""
+    """Ids of whole texts, through a bounded cache of units."""
 
     def __init__(self, name: str):
         self.bpe = load_ranks(name)
@@ -160,14 +221,17 @@ class TextEncoder:
         cache = self.cache
         if len(cache) > CACHE_ENTRIES:
             cache.clear()
-        split = [PATTERN.findall(t) if t else [] for t in texts]
-        missing = sorted({w for words in split for w in words if w not in cache})
-        for word, ids in zip(missing, self.bpe.encode_words([w.encode("utf-8") for w in missing]), strict=True):
-            cache[word] = np.array(ids, dtype="<u4").tobytes()
-        out = [np.frombuffer(b"".join(map(cache.__getitem__, words)), "<u4") for words in split]
-        for word in missing:
-            if len(word) > CACHE_BYTES:
-                del cache[word]
+        split = [[] if not t else PATTERN.findall(t) if ODD.search(t) else UNITS.findall(t) for t in texts]
+        missing = sorted({u for units in split for u in units if u not in cache})
+        parts = [PATTERN.findall(u) for u in missing]
+        words = sorted({w for p in parts for w in p})
+        fresh = dict(zip(words, self.bpe.encode_words([w.encode("utf-8") for w in words]), strict=True))
+        for unit, p in zip(missing, parts, strict=True):
+            cache[unit] = fresh[p[0]] if len(p) == 1 else b"".join([fresh[w] for w in p])
+        out = [np.frombuffer(b"".join(map(cache.__getitem__, units)), "<u4") for units in split]
+        for unit in missing:
+            if len(unit) > CACHE_CHARS:
+                del cache[unit]
         return out
 
 

@@ -148,7 +148,10 @@ def test_rank_order_puts_lower_ranks_first():
             i = min(pairs)[1]
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
-    assert bpe.Bpe(ranks).encode_words(words) == [plain(w) for w in words]
+    made = bpe.Bpe(ranks)
+    assert made.one_by_one(words) == [plain(w) for w in words]
+    assert [np.frombuffer(x, "<u4").tolist() for x in made.in_waves(words)] == [plain(w) for w in words]
+    assert made.encode_words([]) == []
 
 
 SECRETS = [
