@@ -12,13 +12,13 @@ from quillspark.llm.bpe import decode_ids, encode_texts
 from quillspark.llm.common import shared_folder
 from quillspark.llm.decontaminate import find_contamination
 from quillspark.llm.line_dedup import dedup_lines
-from quillspark.llm.simhash import simhash_components
+from quillspark.llm.simhash import similar_components
 from quillspark.llm.toxicity import score_toxicity
 from quillspark.sources.tables import table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Words that near-duplicate shingles have here.
-SHINGLE = 5
+#: Words of a near-duplicate shingle, and the share of common shingles from which texts are near-duplicates.
+SHINGLE, SIMILARITY = 5, 0.8
 
 
 def _documents(docs: DataFrame) -> DataFrame:
@@ -38,8 +38,8 @@ def dedup_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component the document of the smallest id; texts without words are one group."""
-    found = simhash_components(docs, size=SHINGLE)
+    """Of each group of similar texts the document of the smallest id; texts without words are one group."""
+    found = similar_components(docs, SHINGLE, SIMILARITY)
     gone = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 

@@ -34,14 +34,20 @@ TREE_NODES = 8192
 #: Pairs of query and node that a search holds at a time.
 FRONTIER = 1 << 21
 
+#: For similarities below those of the radius: lanes of 64 bits, tables, bits of a table's key, radius in a lane.
+LANES = 4
+TABLES = 36
+KEY_BITS = 14
+LANE_RADIUS = 15
+
 _LOWER = bytes(ord(chr(b).lower()) if b < 0x80 else b for b in range(256))
 
 
-def fingerprint(text: str | None, size: int = SHINGLE) -> int:
-    """64-bit SimHash of a text's shingles, repeats included; zero without words."""
+def shingle_hashes(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """XXH64 of a text's shingles, repeats included; none without words."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
-        return 0
+        return np.empty(0, dtype="<u8")
     if len(words) <= size:
         hashes = np.array([xxhash.xxh64_intdigest(b" ".join(words), 42)], dtype="<u8")
     else:
@@ -50,14 +56,35 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
         starts = np.concatenate(([0], ends[:-1]))[: len(words) - size + 1].tolist()
         digest = xxhash.xxh64_intdigest
         hashes = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, (ends[size - 1 :] - 1).tolist(), strict=True)), dtype="<u8", count=len(starts))
+    return hashes
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     counts = np.zeros(64, dtype=np.int64)
     for i in range(0, len(hashes), 1 << 14):
-        part = hashes[i : i + (1 << 14)]
+        part = np.ascontiguousarray(hashes[i : i + (1 << 14)])
         counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
     bits = (2 * counts > len(hashes)).astype(np.uint8)
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, size: int = SHINGLE) -> int:
+    """64-bit SimHash of a text's shingles; zero without words."""
+    return majority(shingle_hashes(text, size))
+
+
+def wide_fingerprint(text: str | None, size: int) -> list[int]:
+    """Four fingerprints of 64 bits, of the shingles' hashes and of three scrambles of them."""
+    h = shingle_hashes(text, size)
+    lanes = [majority(h)]
+    for k in range(1, LANES):
+        x = (h ^ np.uint64(0x9E3779B97F4A7C15 * k & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        lanes.append(majority(x ^ (x >> np.uint64(32))))
+    return lanes
+
+
 def fingerprints(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and fp (the fingerprint as a signed long) of every row."""
 
@@ -152,17 +179,41 @@ def link_fingerprints(prints: DataFrame, radius: int = RADIUS, blocks: int = BLO
     Every pair within the radius is compared in at least one shard; a task gives the
     spanning forest of its links, not all pairs.
     """
-    spark = ship_package(prints.sparkSession)
     masks = block_masks(blocks, radius)
-    keyed = prints.select("fp", "rep", F.explode(F.array(*[F.struct(F.lit(k).cast("byte").alias("mask"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("value")) for k, m in enumerate(masks)])).alias("s")).select("fp", "rep", F.xxhash64("s.mask", "s.value").alias("shard"), F.col("s.mask").alias("mask"))
+    keyed = prints.select("fp", "rep", F.explode(F.array(*[F.struct(F.lit(k).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("value")) for k, m in enumerate(masks)])).alias("s"))
+    return _shard_links(keyed.select("fp", "rep", F.array().cast("array<long>").alias("lanes"), F.xxhash64("s.mask", "s.value").alias("shard")), radius, None)
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def link_similar(prints: DataFrame, most: int) -> DataFrame:
+    """The same among wide fingerprints (lanes, rep) that differ in at most ``most`` of all their bits.
+
+    A shard is one of ``TABLES`` choices of key bits of one lane, with their values; its BK-tree
+    is over that lane, and what it finds is decided by all lanes. Pairs at the threshold
+    share some shard with a probability of over 0.9, nearer ones almost surely.
+    """
+    rng = np.random.default_rng(17)
+    masks = [sum(1 << int(b) for b in rng.choice(64, KEY_BITS, replace=False)) for _ in range(TABLES)]
+    lane = lambda k: F.col("lanes")[k % LANES]
+    keyed = prints.select("lanes", "rep", F.explode(F.array(*[F.struct(F.lit(k).alias("table"), lane(k).alias("fp"), lane(k).bitwiseAND(F.lit(_signed(m))).alias("value")) for k, m in enumerate(masks)])).alias("s"))
+    return _shard_links(keyed.select("s.fp", "rep", "lanes", F.xxhash64("s.table", "s.value").alias("shard")), LANE_RADIUS, most)
+
+
+def _shard_links(keyed: DataFrame, radius: int, most: int | None) -> DataFrame:
+    """Spanning links of all shards; with ``most`` only pairs whose lanes differ in no more bits."""
+    spark = ship_package(keyed.sparkSession)
     large = keyed.groupBy("shard").agg(F.count("*").alias("n")).filter(F.col("n") > TREE_NODES).select("shard", F.ceil(F.col("n") / TREE_NODES).cast("int").alias("trees"))
     dealt = keyed.join(large, "shard", "left").withColumn("trees", F.coalesce("trees", F.lit(1)))
     # a shard of several trees is dealt to pairs of them: one gives the nodes, the other the queries
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("trees")).cast("int"))
-    sent = dealt.select("fp", "rep", "shard", "own", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("other"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("trees")).cast("int"))
+    sent = dealt.select("fp", "rep", "lanes", "shard", "own", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("other"))
     low, high = F.least("own", "other"), F.greatest("own", "other")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = sent.select("fp", "rep", F.xxhash64("shard", low, high).alias("tree"), (F.col("own") == low).alias("node"), (F.col("own") == high).alias("ask")).repartition(n, "tree").sortWithinPartitions("tree")
+    lanes = [F.col("lanes")[k].alias(f"f{k}") for k in range(LANES if most is not None else 0)]
+    placed = sent.select("fp", "rep", *lanes, F.xxhash64("shard", low, high).alias("tree"), (F.col("own") == low).alias("node"), (F.col("own") == high).alias("ask")).repartition(n, "tree").sortWithinPartitions("tree")
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -183,9 +234,11 @@ def link_fingerprints(prints: DataFrame, radius: int = RADIUS, blocks: int = BLO
     def links(part: pa.Table):
         fp, rep, tree, node, ask = (np.asarray(part.column(c)) for c in ("fp", "rep", "tree", "node", "ask"))
         fp = fp.view(np.uint64)
+        wide = [np.asarray(part.column(f"f{k}")).view(np.uint64) for k in range(LANES if most is not None else 0)]
         shard, counts = np.unique(tree, return_inverse=True, return_counts=True)[1:]
         several = counts[shard] > 1
         fp, rep, shard, node, ask = fp[several], rep[several], shard[several], node[several], ask[several]
+        wide = [x[several] for x in wide]
         own = np.flatnonzero(node)
         if not len(own):
             return
@@ -199,6 +252,8 @@ def link_fingerprints(prints: DataFrame, radius: int = RADIUS, blocks: int = BLO
         for q, row in search_forest(trees, fp[own], fp[ask], root[ask], radius):
             x, y = rep[ask[q]], rep[own[row]]
             keep = x != y
+            if wide:
+                keep &= sum(np.bitwise_count(f[ask[q]] ^ f[own[row]]).astype(np.int64) for f in wide) <= most
             a.append(x[keep])
             b.append(y[keep])
             pending += int(keep.sum())
@@ -226,6 +281,37 @@ def simhash_components(docs: DataFrame, size: int = SHINGLE, radius: int = RADIU
     return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def bits_apart(similarity: float) -> int:
+    """Most differing bits of wide fingerprints whose texts may have so large a share of common shingles.
+
+    Shingle sets of Jaccard similarity j are at an angle of cosine 2j / (1 + j), and each
+    bit differs with a probability of that angle over pi; three quarters of that count's standard deviation are granted.
+    """
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    bits = 64 * LANES
+    return int(bits * p + 0.75 * np.sqrt(bits * p * (1 - p)))
+
+
+def similar_components(docs: DataFrame, size: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Groups of texts by an estimated shingle similarity: doc_id, component_id; see :func:`simhash_components`.
+
+    Wide fingerprints measure similarities that a few bits of 64 do not tell.
+    """
+
+    def make():
+        def step(ids, texts):
+            lanes = np.array([wide_fingerprint(t, size) for t in texts], dtype=np.uint64).reshape(-1, LANES).view(np.int64)
+            return {"doc_id": ids, "lanes": pa.FixedSizeListArray.from_arrays(pa.array(lanes.ravel()), LANES).cast(pa.list_(pa.int64()))}
+
+        return step
+
+    prints = written(map_text(id_text(docs, id_col, text_col), make, "doc_id long, lanes array<long>"), "wide-fingerprints")
+    distinct = written(prints.groupBy("lanes").agg(F.min("doc_id").alias("rep")).filter("rep is not null"), "wide-distinct")
+    components = connected_components(link_similar(distinct, bits_apart(similarity)), "similar")
+    named = distinct.join(components, F.col("rep") == F.col("node"), "left").select("lanes", F.coalesce("component", "rep").alias("component_id"))
+    return prints.join(named, "lanes", "left").select("doc_id", "component_id")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents; see :func:`simhash_components`."""
     found = simhash_components(table(spark, sf_dir, "documents"))

@@ -356,3 +356,21 @@ def test_digests_of_the_queries(spark):
     table = spark.read.parquet(f"{sf}/documents.parquet")
     got = {r["doc_id"]: r for r in registry.queries()["op7_decontamination"](spark, sf).collect()}
     assert len(got) == table.count() and {r["items_sha256"] for r in got.values() if r["n_items"] == 0} == {hashlib.sha256(b"").hexdigest()}
+
+
+def test_similar_components(spark, docs):
+    """Copies with few changed words are one group, others stay; repeated and odd rows are kept."""
+    rng = random.Random(8)
+    rows = []
+    for k in range(0, 300, 3):
+        words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
+        near, far = list(words), list(words)
+        near[10:12] = ["x", "y"]
+        for i in range(0, 300, 10):
+            far[i] = "z" + far[i]
+        rows += [(k, " ".join(words)), (k + 1, " ".join(near)), (k + 2, " ".join(far))]
+    got = dict(tuple(r) for r in simhash.similar_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 0.8).collect())
+    assert all(got[k + 1] == k and got[k + 2] == k + 2 for k in range(0, 300, 3))
+    odd = {r["doc_id"]: r["component_id"] for r in simhash.similar_components(docs, 5, 0.8).collect()}
+    assert odd[0] == odd[1] == odd[2] == 0 and odd[4] == 3 and odd[13] == 13
+    assert simhash.similar_components(empty(docs), 5, 0.8).count() == 0

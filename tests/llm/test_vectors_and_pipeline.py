@@ -106,12 +106,17 @@ def test_pipeline(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in rows.values())
     kept = P.drop_near_duplicates(spark, lined, SF).cache()
     left = {r["doc_id"] for r in kept.collect()}
-    fp = {k: simhash.fingerprint(r["text"], P.SHINGLE) for k, r in rows.items()}
-    groups = {r["doc_id"]: r["component_id"] for r in simhash.simhash_components(lined, size=P.SHINGLE).collect()}
-    for a in fp:
-        for b in fp:
-            if (fp[a] ^ fp[b]).bit_count() <= simhash.RADIUS:
-                assert groups[a] == groups[b]
+    wide = {k: np.array(simhash.wide_fingerprint(r["text"], P.SHINGLE), dtype=np.uint64) for k, r in rows.items()}
+    most = simhash.bits_apart(P.SIMILARITY)
+    group = {k: k for k in wide}
+    changed = True
+    while changed:
+        changed = False
+        for a in wide:
+            for b in wide:
+                if group[a] < group[b] and int(np.bitwise_count(wide[a] ^ wide[b]).sum()) <= most:
+                    group[b], changed = group[a], True
+    assert left == {k for k in group if group[k] == k}
     for k in set(rows) - left:
         assert any(o < k for o in left), "the smallest of a group stays"
     clean = P.decontaminate(spark, kept, SF).cache()
