@@ -29,7 +29,7 @@ OVER_LIMIT = 512
 
 #: Units, as the pattern of the pre-tokens leaves white space.
 UNITS = re.compile(r"\s+(?!\S)| ?\S+|\s")
-#: Characters that Python takes for white space and the library's pattern does not; a text that holds one is encoded whole.
+#: Characters that Python takes for white space and the library's pattern does not; a text that holds one, or a special string, is encoded whole.
 ODD = re.compile("[\x1c-\x1f\x85᠎]")
 #: Bounds of a worker's cache: entries, and characters of a unit that is kept.
 CACHE_ENTRIES = 1 << 20
@@ -78,7 +78,7 @@ def count_tokens(docs: DataFrame, name: str = TOKENIZER, limit: int = OVER_LIMIT
     def make():
         tokenizer = load_tokenizer(name)
         specials = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        odd = re.compile("|".join([ODD.pattern, *(re.escape(s) for s in specials if re.search(r"\s", s))]))
+        odd = re.compile("|".join([ODD.pattern, *map(re.escape, specials)]))  # the library cuts a text at special strings first
         frequent, cache = shared.value, _cache.setdefault(name, {})
 
         def step(ids, texts):

@@ -4,10 +4,12 @@ A file holds the ids of a range of documents, in ascending order of doc_id, each
 id in the fewest bits that the vocabulary needs:
 
 ====================  =====================================================
-header, 48 bytes      magic ``QSTOKEN1``, then 5 little-endian uint64: bits an
-                      id, ids, documents, ids a block, bytes of the packed area
-document table        doc_id int64 x documents, then the first id of each
-                      document and, last, the number of ids: uint64
+header, 56 bytes      magic ``QSTOKEN1``, then 6 little-endian uint64: bits an
+                      id, ids, documents, those without a doc_id, ids a block,
+                      bytes of the packed area
+document table        doc_id int64 x documents (those without one come first and
+                      have 0), then the first id of each document and, last, the
+                      number of ids: uint64
 block table           byte offset of each block in the packed area: uint64
 packed area           blocks; id k of a block takes the bits
                       ``k * bits`` to ``(k + 1) * bits - 1``, low bit first
@@ -70,12 +72,12 @@ def unpack(data, n: int, bits: int) -> np.ndarray:
     return np.packbits(out, axis=1, bitorder="little").view("<u4").ravel().astype(np.uint32)
 
 
-def file_bytes(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, bits: int, block: int = BLOCK_IDS):
+def file_bytes(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, bits: int, block: int = BLOCK_IDS, nulls: int = 0):
     """The parts of a file, in order."""
     starts = np.concatenate(([0], np.cumsum(lengths))).astype("<u8")
     blocks = [pack(ids[i : i + block], bits) for i in range(0, len(ids), block)]
     offsets = np.concatenate(([0], np.cumsum([len(b) for b in blocks])))[: len(blocks)].astype("<u8")
-    yield MAGIC + struct.pack("<5Q", bits, len(ids), len(doc_ids), block, sum(map(len, blocks)))
+    yield MAGIC + struct.pack("<6Q", bits, len(ids), len(doc_ids), nulls, block, sum(map(len, blocks)))
     yield doc_ids.astype("<i8").tobytes()
     yield starts.tobytes()
     yield offsets.tobytes()
@@ -87,15 +89,15 @@ class TokenFile:
 
     def __init__(self, handle):
         self.handle = handle
-        head = handle.read(48)
+        head = handle.read(56)
         if head[:8] != MAGIC:
             raise ValueError("not a token file")
-        self.bits, self.n_ids, n_docs, self.block, self.packed = struct.unpack("<5Q", head[8:])
+        self.bits, self.n_ids, n_docs, self.nulls, self.block, self.packed = struct.unpack("<6Q", head[8:])
         self.doc_ids = np.frombuffer(handle.read(8 * n_docs), "<i8")
         self.starts = np.frombuffer(handle.read(8 * (n_docs + 1)), "<u8").astype(np.int64)
         n_blocks = -(-self.n_ids // self.block)
         self.offsets = np.append(np.frombuffer(handle.read(8 * n_blocks), "<u8").astype(np.int64), self.packed)
-        self.base = 48 + 8 * (2 * n_docs + 1 + n_blocks)
+        self.base = 56 + 8 * (2 * n_docs + 1 + n_blocks)
 
     def ids(self, start: int, stop: int) -> np.ndarray:
         """The ids from ``start`` to ``stop`` (exclusive), reading only their blocks."""
@@ -116,7 +118,7 @@ def _encoder(name: str):
     """Ids of many texts: unit by unit through a worker's cache, since a unit of no white space is encoded on its own."""
     tokenizer = load_tokenizer(name)
     specials = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    odd = re.compile("|".join([ODD.pattern, *(re.escape(s) for s in specials if re.search(r"\s", s))]))
+    odd = re.compile("|".join([ODD.pattern, *map(re.escape, specials)]))
     cache = _cache.setdefault(name, {})
 
     def raw(texts: list[str]) -> list[bytes]:
@@ -145,9 +147,8 @@ def write_token_files(docs: DataFrame, folder: str, name: str = TOKENIZER, end_i
     """Encode every text and write the token files below ``folder``, in ascending order of doc_id.
 
     Returns a row for each file: path, first_doc, n_docs, n_ids. A null text is
-    an empty one and has only the end id. Rows with a null doc_id have no place
-    in the order and are refused. Repeated doc_ids stand one after the other, by text. An empty table
-    gives no file. A task writes under a name of its own and renames it when
+    an empty one and has only the end id. Rows with a null doc_id come first; repeated
+    doc_ids stand one after the other, by text. An empty table gives no file. A task writes under a name of its own and renames it when
     complete, so a repeated task leaves whole files only; a file counts if it is in the returned rows.
     """
     from quillspark.llm.common import id_text
@@ -161,14 +162,13 @@ def write_token_files(docs: DataFrame, folder: str, name: str = TOKENIZER, end_i
 
         encode = _encoder(name)
         bits = bits_for(load_tokenizer(name).get_vocab_size(with_added_tokens=True))
-        doc_ids, lengths, pieces = [], [], []
+        doc_ids, lengths, pieces, nulls = [], [], [], 0
         for batch in batches:
             for part in slices(batch):
                 encoded = encode(part.column("text").to_pylist())
                 keys = part.column("doc_id")
-                if keys.null_count:
-                    raise ValueError("token files need a doc_id in every row")
-                doc_ids.append(np.asarray(keys))
+                nulls += keys.null_count
+                doc_ids.append(np.asarray(keys.fill_null(0)))
                 ids = np.frombuffer(b"".join(x + _END(end_id) for x in encoded), "<u4")
                 pieces.append(ids.astype("<u2") if bits <= 16 else ids)
                 lengths.append(np.array([len(x) // 4 + 1 for x in encoded], dtype=np.int64))
@@ -180,10 +180,10 @@ def write_token_files(docs: DataFrame, folder: str, name: str = TOKENIZER, end_i
         unique = uuid.uuid4().hex
         path = f"{base}/{unique}.tokens"
         with fs.open_output_stream(f"{base}/.{unique}.part") as out:
-            for piece in file_bytes(doc_ids, lengths, ids, bits):
+            for piece in file_bytes(doc_ids, lengths, ids, bits, nulls=nulls):
                 out.write(piece)
         fs.move(f"{base}/.{unique}.part", path)
-        yield pa.RecordBatch.from_pydict({"path": [path], "first_doc": [int(doc_ids[0])], "last_doc": [int(doc_ids[-1])], "n_docs": [len(doc_ids)], "n_ids": [len(ids)]}, schema=target)
+        yield pa.RecordBatch.from_pydict({"path": [path], "first_doc": [None if nulls else int(doc_ids[0])], "last_doc": [None if nulls == len(doc_ids) else int(doc_ids[-1])], "n_docs": [len(doc_ids)], "n_ids": [len(ids)]}, schema=target)
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = id_text(docs, id_col, text_col).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
@@ -216,7 +216,8 @@ def read_token_files(spark: SparkSession, files: DataFrame, folder: str) -> Data
                         first = int(file.starts[at])
                         data = file.ids(first, int(file.starts[stop])).astype("<u4")
                         crcs = [zlib.crc32(data[a:b]) for a, b in zip((file.starts[at:stop] - first).tolist(), (file.starts[at + 1 : stop + 1] - first).tolist(), strict=True)]
-                        yield pa.RecordBatch.from_pydict({"doc_id": file.doc_ids[at:stop], "start": file.starts[at:stop] + base, "n_tokens": np.diff(file.starts[at : stop + 1]), "ids_crc32": np.array(crcs, dtype=np.int64)}, schema=target)
+                        keys = pa.array(file.doc_ids[at:stop], mask=np.arange(at, stop) < file.nulls)
+                        yield pa.RecordBatch.from_pydict({"doc_id": keys, "start": file.starts[at:stop] + base, "n_tokens": np.diff(file.starts[at : stop + 1]), "ids_crc32": np.array(crcs, dtype=np.int64)}, schema=target)
                         at = stop
 
     return files.mapInArrow(read, schema)
@@ -229,7 +230,7 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     folder = shared_folder(spark, "tokens")
     rows = write_token_files(table(spark, sf_dir, "documents"), folder).collect()
-    rows.sort(key=lambda r: (r["first_doc"], r["last_doc"]))
+    rows.sort(key=lambda r: tuple((r[c] is not None, r[c]) for c in ("first_doc", "last_doc")))
     base, placed = 0, []
     for r in rows:
         placed.append((r["path"], base))

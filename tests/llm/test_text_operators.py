@@ -30,7 +30,7 @@ TEXTS = {
     7: "b " + "a " * 31 + "c",
     8: LONG,
     9: "x" * 50_000,
-    10: "<|endoftext|> mid <|startoftext|>word",
+    10: "<|endoftext|> mid  <|endoftext|>\n\n<|endoftext|> <|startoftext|>word",
     11: "tab\tnew nbsp em \x1c fs \x85 nel émigré 你好 🙂 it's I'LL",
     12: LINE.upper(),
     13: "one two three",
@@ -97,8 +97,11 @@ def test_token_files(spark, docs):
         start += len(ids)
     assert got == expected
     assert token_files.write_token_files(empty(docs), folder).count() == 0
-    with pytest.raises(Exception, match="doc_id"):
-        token_files.write_token_files(docs.withColumn("doc_id", F.lit(None).cast("long")), folder).collect()
+    nulls = docs.withColumn("doc_id", F.when(F.col("doc_id") > 9, F.col("doc_id")))
+    files = token_files.write_token_files(nulls, folder)
+    placed = spark.createDataFrame([(f["path"], 0) for f in files.collect()], "path string, base long")
+    got = [r["doc_id"] for r in token_files.read_token_files(spark, placed, folder).collect()]
+    assert sorted(got, key=str) == sorted([None] * 10 + [10, 11, 12, 13, 13], key=str)
 
 
 @pytest.mark.parametrize("bits", [1, 5, 8, 13, 16, 17, 32])
