@@ -211,3 +211,20 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"),
         (F.size("item_ids") >= 2).alias("contaminated"),
     )
+
+
+_SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP7_SQL = rf"""
+WITH dw AS (SELECT doc_id, {_SQL_WORDS} AS w FROM documents),
+bw AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item_id, {_SQL_WORDS} AS w FROM benchmark),
+bg AS (SELECT DISTINCT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS g FROM (
+  SELECT item_id, w, least(8, len(w)) AS m, unnest(range(1, greatest(len(w) - 8, 0) + 2)) AS i FROM bw WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT m FROM bg),
+dg AS (SELECT doc_id, i, m, array_to_string(w[i:i + m - 1], ' ') AS g FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM dw, sizes WHERE len(w) >= m)),
+hits AS (SELECT dg.doc_id, dg.i, dg.m, bg.item_id FROM dg JOIN bg ON bg.g = dg.g AND bg.m = dg.m),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS s FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
+SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hit.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(items.n, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(items.s, '')) AS items_sha256, coalesce(items.n, 0) >= 2 AS contaminated
+FROM dw LEFT JOIN hit ON hit.doc_id = dw.doc_id LEFT JOIN items ON items.doc_id = dw.doc_id
+"""

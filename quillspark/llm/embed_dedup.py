@@ -229,3 +229,16 @@ def embedding_links(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of all embeddings; see :func:`embedding_links`."""
     return embedding_links(table(spark, sf_dir, "embeddings"))
+
+
+OP3_SQL = """
+WITH RECURSIVE fine AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM fine a JOIN fine b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))) >= 0.98e0),
+reach AS (SELECT a AS start, b AS there FROM links UNION SELECT r.start, l.b FROM reach r JOIN links l ON l.a = r.there),
+least_of AS (SELECT start, min(there) AS low FROM reach GROUP BY start),
+counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(low, vec_id)) AS kept
+FROM embeddings LEFT JOIN counted ON a = vec_id LEFT JOIN least_of ON start = vec_id
+"""

@@ -24,6 +24,9 @@ def queries() -> dict:
 def oracle_sql() -> dict:
     """DuckDB SQL by query name."""
     return {
+        "op3_embedding_dedup": embed_dedup.OP3_SQL,
         "op4_secret_scan": secret_scan.OP4_SQL,
+        "op5_substring_dedup": substring_dedup.OP5_SQL,
+        "op7_decontamination": decontaminate.OP7_SQL,
         "op9_line_dedup": line_dedup.OP9_SQL,
     }
