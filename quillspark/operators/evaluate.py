@@ -41,16 +41,16 @@ def gold_chunks(evidence: DataFrame, chunks: DataFrame) -> DataFrame:
     return chunks.join(e, "doc_id").filter(hit).select("query_id", "doc_id", "position").distinct()
 
 
-def per_query(rankings: DataFrame, gold: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:
+def per_query(rankings: DataFrame, gold: DataFrame, k: int, keys: DataFrame | None = None) -> DataFrame:
     """recall, complete and rr of each question that has gold, 0 where nothing was found.
 
-    ``rankings`` has query_id, chunk_id, rank; ``gold`` query_id, chunk_id. ``by`` names
-    further keys of rankings, each of whose values is scored for every question.
+    ``rankings`` has query_id, chunk_id, rank; ``gold`` query_id, chunk_id. ``keys`` is a small
+    table of the further keys of rankings, each row of which is scored for every question.
     """
-    by = by or []
+    by = keys.columns if keys is not None else []
     total = gold.groupBy("query_id").agg(F.count("*").alias("n_gold"))
     hits = rankings.filter(F.col("rank") <= k).join(gold, ["query_id", "chunk_id"], "left_semi").groupBy(*by, "query_id").agg(F.count("*").alias("n"), F.min("rank").alias("first"))
-    every = total.crossJoin(rankings.select(*by).distinct()) if by else total
+    every = total.crossJoin(F.broadcast(keys)) if by else total
     joined = every.join(hits, [*by, "query_id"], "left")
     n = F.coalesce("n", F.lit(0))
     return joined.select(*by, "query_id", F.round(n / F.col("n_gold"), 9).alias("recall"), (n == F.col("n_gold")).cast("double").alias("complete"), F.round(F.coalesce(F.lit(1.0) / F.col("first"), F.lit(0.0)), 9).alias("rr"))
@@ -63,10 +63,14 @@ def means(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def paired(base: DataFrame, other: DataFrame, metric: str) -> DataFrame:
-    """Mean difference of a metric over the same questions, its standard error and their ratio (NaN without error)."""
+    """Mean difference of a metric over the same questions; see :func:`difference`."""
+    return difference(base.select("query_id", F.col(metric).alias("b")).join(other.select("query_id", F.col(metric).alias("o")), "query_id"))
+
+
+def difference(pairs: DataFrame) -> DataFrame:
+    """Mean of o - b, its standard error and their ratio (null without error)."""
     d = F.col("o") - F.col("b")
-    joined = base.select("query_id", F.col(metric).alias("b")).join(other.select("query_id", F.col(metric).alias("o")), "query_id")
-    out = joined.agg(F.count("*").alias("n"), F.avg(d).alias("diff"), (F.stddev_samp(d) / F.sqrt(F.count("*"))).alias("se"))
+    out = pairs.agg(F.count("*").alias("n"), F.avg(d).alias("diff"), (F.stddev_samp(d) / F.sqrt(F.count("*"))).alias("se"))
     return out.select("n", F.round("diff", 6).alias("diff"), F.round("se", 6).alias("se"), z_score(F.col("diff"), F.col("se")).alias("z"))
 
 

@@ -18,16 +18,26 @@ def alphas(spark: SparkSession) -> DataFrame:
     return spark.range(len(ALPHAS)).select((F.col("id") / 10.0).alias("alpha"))
 
 
-def swept(cands: DataFrame, gold: DataFrame, method: str, k: int) -> DataFrame:
-    """alpha, query_id, recall, complete, rr at every weight; the candidates are fused once each."""
-    grid = F.broadcast(alphas(cands.sparkSession))
-    if method == "rrf":
-        scored = cands.crossJoin(grid).withColumn("fused", fusion.rrf_score(F.col("alpha")))
-    elif method == "linear":
-        scored = fusion.with_scaled(cands).crossJoin(grid).withColumn("fused", fusion.linear_score(F.col("alpha")))
-    else:
-        raise ValueError(f"unknown method {method!r}")
-    return per_query(fusion.ranked(scored, ["alpha", "query_id"], k), gold, k, ["alpha"])
+METHODS = ("rrf", "linear")
+
+
+def grid(spark: SparkSession, methods: tuple = METHODS) -> DataFrame:
+    """Every method with every weight."""
+    return spark.createDataFrame([(m,) for m in methods], "method string").crossJoin(alphas(spark))
+
+
+def swept(cands: DataFrame, gold: DataFrame, k: int, methods: tuple = METHODS) -> DataFrame:
+    """method, alpha, query_id, recall, complete, rr at every weight.
+
+    The candidates are retrieved once; methods and weights are rows of one fusion.
+    """
+    unknown = set(methods) - set(METHODS)
+    if unknown:
+        raise ValueError(f"unknown methods {sorted(unknown)}")
+    keys = grid(cands.sparkSession, methods)
+    scored = fusion.with_scaled(cands).crossJoin(F.broadcast(keys))
+    scored = scored.withColumn("fused", F.when(F.col("method") == "rrf", fusion.rrf_score(F.col("alpha"))).otherwise(fusion.linear_score(F.col("alpha"))))
+    return per_query(fusion.ranked(scored, ["method", "alpha", "query_id"], k), gold, k, keys)
 
 
 def with_fold(scores: DataFrame) -> DataFrame:

@@ -82,12 +82,12 @@ def b_grid(spark):
 def bm25_b_sweep(spark, d):
     scores = bm25.score_all(bm25.tokenised(corpus(spark, d)), questions(spark, d), b=b_grid(spark))
     best = bm25.top_k(scores, CANDIDATES, by=("b", "query_id"))
-    return evaluate.means(evaluate.per_query(best, gold(spark, d), CANDIDATES, ["b"]), ["b"])
+    return evaluate.means(evaluate.per_query(best, gold(spark, d), CANDIDATES, b_grid(spark)), ["b"])
 
 
 def bm25_b_paired(spark, d):
     scores = bm25.score_all(bm25.tokenised(corpus(spark, d)), questions(spark, d), b=b_grid(spark))
-    each = evaluate.per_query(bm25.top_k(scores, CANDIDATES, by=("b", "query_id")), gold(spark, d), CANDIDATES, ["b"])
+    each = evaluate.per_query(bm25.top_k(scores, CANDIDATES, by=("b", "query_id")), gold(spark, d), CANDIDATES, b_grid(spark))
     joined = each.alias("o").join(each.filter(f"b = {BASELINE}D").alias("p"), "query_id").select(F.col("o.b").alias("b"), (F.col("o.rr") - F.col("p.rr")).alias("x"))
     return joined.groupBy("b").agg(F.count("*").alias("n"), F.round(F.avg("x"), 6).alias("diff"), F.round(F.stddev_samp("x") / F.sqrt(F.count("*")), 6).alias("se"))
 
@@ -196,45 +196,40 @@ def minmax_scores(spark, d):
 # --- evaluation ---------------------------------------------------------------
 
 
-def run_scores(spark, d, run):
-    if run == "hybrid":
-        scored = candidate_lists(spark, d).withColumn("fused", fusion.rrf_score())
-        best = fusion.ranked(scored, ["query_id"], K)
-    else:
-        best = (dense_list if run == "dense" else bm25_list)(spark, d, K)
-    return evaluate.per_query(best.select("query_id", "chunk_id", "rank"), gold(spark, d), K)
+RUNS = ("dense", "bm25", "hybrid")
+
+
+def all_runs(spark, d, runs=RUNS):
+    """Metrics of every question in each run, from one retrieval of the candidates."""
+    both = fusion.ranked(candidate_lists(spark, d).withColumn("fused", fusion.rrf_score()), ["query_id"])
+    places = {"dense": "dense_rank", "bm25": "bm25_rank", "hybrid": "rank"}
+    listed = both.select("query_id", "chunk_id", F.explode(F.array(*[F.struct(F.lit(r).alias("run"), F.col(places[r]).alias("rank")) for r in runs])).alias("p")).select("query_id", "chunk_id", "p.run", "p.rank").filter(F.col("rank") <= K)
+    return evaluate.per_query(listed, gold(spark, d), K, spark.createDataFrame([(r,) for r in runs], "run string"))
 
 
 def per_query_scores(spark, d):
-    return run_scores(spark, d, "bm25")
+    return evaluate.per_query(bm25_list(spark, d, K).select("query_id", "chunk_id", "rank"), gold(spark, d), K)
 
 
 def retrieval_metrics(spark, d):
-    return evaluate.means(run_scores(spark, d, "bm25"))
+    return evaluate.means(per_query_scores(spark, d))
 
 
 def paired_difference(spark, d):
-    return evaluate.paired(run_scores(spark, d, "dense"), run_scores(spark, d, "hybrid"), "rr")
+    each = all_runs(spark, d, ("dense", "hybrid")).groupBy("query_id").agg(F.max(F.when(F.col("run") == "dense", F.col("rr"))).alias("b"), F.max(F.when(F.col("run") == "hybrid", F.col("rr"))).alias("o"))
+    return evaluate.difference(each)
 
 
 def eval_runs(spark, d):
-    out = None
-    for run in ("dense", "bm25", "hybrid"):
-        one = evaluate.means(run_scores(spark, d, run)).withColumn("run", F.lit(run))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return evaluate.means(all_runs(spark, d), ["run"])
 
 
 def swept(spark, d, method):
-    return sweep.swept(candidate_lists(spark, d), gold(spark, d), method, K)
+    return sweep.swept(candidate_lists(spark, d), gold(spark, d), K, (method,)).drop("method")
 
 
 def fusion_sweep_curve(spark, d):
-    out = None
-    for method in ("rrf", "linear"):
-        one = evaluate.means(swept(spark, d, method), ["alpha"]).withColumn("method", F.lit(method))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return evaluate.means(sweep.swept(candidate_lists(spark, d), gold(spark, d), K), ["method", "alpha"])
 
 
 def crossfit_choice(spark, d):
