@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.bpe import decode_ids, encode_texts
+from quillspark.llm.bpe import round_trip
 from quillspark.llm.common import shared_folder
 from quillspark.llm.decontaminate import find_contamination
 from quillspark.llm.line_dedup import dedup_lines
@@ -56,7 +56,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the text that they decode to."""
-    decoded = decode_ids(encode_texts(docs))
+    decoded = round_trip(docs)
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.decode("data", "UTF-8").alias("text"))
 
 

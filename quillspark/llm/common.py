@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ from quillspark.shipping import ship_package
 
 #: Texts that one Python call holds at a time, by count and by bytes.
 SLICE_ROWS = 2048
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -35,6 +36,15 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         start = stop
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system, since Python workers live on after a task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass
+
+
 def map_text(docs: DataFrame, make: Callable[[], Callable], schema: str) -> DataFrame:
     """Apply ``make()(ids, texts)`` to parts of the rows, where it returns Arrow columns by name.
 
@@ -49,6 +59,8 @@ def map_text(docs: DataFrame, make: Callable[[], Callable], schema: str) -> Data
             for part in slices(batch):
                 columns = step(part.column("doc_id"), part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) if not isinstance(columns[f.name], (pa.Array, pa.ChunkedArray)) else columns[f.name].cast(f.type) for f in target], schema=target)
+        del step
+        release_memory()
 
     return docs.mapInArrow(run, schema)
 

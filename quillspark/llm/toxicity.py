@@ -154,7 +154,7 @@ class Restorer:
             chars.append(back[0])
             back = back[1]
         out = "".join(reversed(chars))
-        if len(self.cache) > 200_000:
+        if len(self.cache) > 50_000:
             self.cache.clear()
         self.cache[token] = out
         return out
@@ -192,7 +192,7 @@ class Words:
             if got is None:
                 got = self.of_token(token)
                 if len(token) <= LONGEST:
-                    if len(cache) > 500_000:
+                    if len(cache) > 200_000:
                         cache.clear()
                     cache[token] = got
             if got:

@@ -127,7 +127,8 @@ def test_bpe(docs, encoding):
     for k, text in TEXTS.items():
         assert got[k]["ids"] == encoding.encode_ordinary(text or "")
         assert bytes(got[k]["data"]) == (text or "").encode()
-    assert bpe.encode_texts(empty(docs)).count() == 0
+    assert rows_of(bpe.round_trip(docs), "doc_id", "ids", "data") == rows_of(bpe.decode_ids(bpe.encode_texts(docs)), "doc_id", "ids", "data")
+    assert bpe.encode_texts(empty(docs)).count() == bpe.round_trip(empty(docs)).count() == 0
 
 
 def test_bpe_random_bytes(encoding):
