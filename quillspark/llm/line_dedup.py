@@ -31,7 +31,7 @@ def _fingerprint_at(hashes: Column, start: Column, window: int) -> Column:
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Starts of the line windows that also start earlier: row_key, starts array<int> (from 0).
+    """Starts of the line windows that also start earlier: doc_id, t (hash of the text), starts array<int> (from 0).
 
     Earlier means a smaller (doc_id, start); rows of one doc_id are ordered by a hash of
     their text, and equal rows count as one row.

@@ -23,15 +23,15 @@ from __future__ import annotations
 
 import re
 import struct
+import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from quillspark.llm.common import arrow_schema, shared_folder, slices
+from quillspark.llm.common import arrow_schema, id_text, release_memory, shared_folder, slices
 from quillspark.llm.vocab import load_tokenizer
 from quillspark.shipping import ship_package
 from quillspark.sources.tables import table
@@ -151,16 +151,12 @@ def write_token_files(docs: DataFrame, folder: str, name: str = TOKENIZER, end_i
     doc_ids stand one after the other, by text. An empty table gives no file. A task writes under a name of its own and renames it when
     complete, so a repeated task leaves whole files only; a file counts if it is in the returned rows.
     """
-    from quillspark.llm.common import id_text
-
     spark = ship_package(docs.sparkSession)
     schema = "path string, first_doc long, last_doc long, n_docs long, n_ids long"
     target = arrow_schema(spark, schema)
 
     def write(batches):
-        import uuid
-
-        encode = _encoder(name)
+        encode, end = _encoder(name), struct.pack("<I", end_id)
         bits = bits_for(load_tokenizer(name).get_vocab_size(with_added_tokens=True))
         doc_ids, lengths, pieces, nulls = [], [], [], 0
         for batch in batches:
@@ -169,7 +165,7 @@ def write_token_files(docs: DataFrame, folder: str, name: str = TOKENIZER, end_i
                 keys = part.column("doc_id")
                 nulls += keys.null_count
                 doc_ids.append(np.asarray(keys.fill_null(0)))
-                ids = np.frombuffer(b"".join(x + _END(end_id) for x in encoded), "<u4")
+                ids = np.frombuffer(b"".join(x + end for x in encoded), "<u4")
                 pieces.append(ids.astype("<u2") if bits <= 16 else ids)
                 lengths.append(np.array([len(x) // 4 + 1 for x in encoded], dtype=np.int64))
         if not doc_ids:
@@ -184,16 +180,14 @@ def write_token_files(docs: DataFrame, folder: str, name: str = TOKENIZER, end_i
                 out.write(piece)
         fs.move(f"{base}/.{unique}.part", path)
         yield pa.RecordBatch.from_pydict({"path": [path], "first_doc": [None if nulls else int(doc_ids[0])], "last_doc": [None if nulls == len(doc_ids) else int(doc_ids[-1])], "n_docs": [len(doc_ids)], "n_ids": [len(ids)]}, schema=target)
+        del doc_ids, lengths, ids
+        release_memory()
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = id_text(docs, id_col, text_col).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     return ordered.mapInArrow(write, schema)
 
 
-def _END(end_id: int) -> bytes:
-    return struct.pack("<I", end_id)
-
-
 def read_token_files(spark: SparkSession, files: DataFrame, folder: str) -> DataFrame:
     """Documents of token files, from the files alone: doc_id, start, n_tokens, ids_crc32.
 
