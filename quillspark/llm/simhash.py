@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import id_text, map_text, written
+from quillspark.llm.common import id_text, map_text, slices, written
 from quillspark.llm.components import connected_components, forest
 from quillspark.shipping import ship_package
 from quillspark.sources.tables import table
@@ -39,6 +39,10 @@ LANES = 4
 TABLES = 36
 KEY_BITS = 14
 LANE_RADIUS = 15
+#: Sets sampled to find common shingles, in how many of them one must be, and how many are put in order at most.
+SAMPLE, OFTEN, ORDERED = 20_000, 8, 200_000
+#: Bits of the bitmap of texts to be verified.
+BITMAP = 1 << 23
 
 _LOWER = bytes(ord(chr(b).lower()) if b < 0x80 else b for b in range(256))
 
@@ -292,24 +296,188 @@ def bits_apart(similarity: float) -> int:
     return int(bits * p + 0.75 * np.sqrt(bits * p * (1 - p)))
 
 
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """The distinct shingles of a text as signed hashes in ascending order; none without words."""
+    return np.unique(shingle_hashes(text, size)).view(np.int64)
+
+
+def frequent_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that many of some sampled texts have, in ascending order, and their places, rarest first.
+
+    The prefix filter takes these last. Any order of shingles gives the same pairs, so the sample and its bounds
+    change only the work.
+    """
+    share = max(docs.count() // SAMPLE, 1)
+    some = docs.filter(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0))
+
+    def make():
+        def step(ids, texts):
+            return {"doc_id": ids, "shingles": _lists([shingle_set(t, size) for t in texts])}
+
+        return step
+
+    sets = map_text(some, make, "doc_id long, shingles array<long>")
+    rows = sets.select(F.explode("shingles").alias("h")).groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= OFTEN).orderBy(F.desc("n"), "h").limit(ORDERED).select("h").collect()
+    found = np.array([x["h"] for x in reversed(rows)], dtype=np.int64)
+    order = np.argsort(found)
+    return found[order], order
+
+
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate(([0], np.cumsum([len(x) for x in parts]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64), pa.int64()))
+
+
+def prefix(shingles: np.ndarray, similarity: float, often: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """As many shingles of a set, in the order of all, as any set of that similarity must meet.
+
+    Two sets of n and m shingles and that Jaccard similarity have one in common among the
+    first n - ceil(similarity n) + 1 and m - ceil(similarity m) + 1.
+    """
+    n = len(shingles)
+    if len(often) and n:
+        where = np.minimum(np.searchsorted(often, shingles), len(often) - 1)
+        shingles = shingles[np.argsort(np.where(often[where] == shingles, place[where], -1), kind="stable")]
+    return shingles[: n - int(np.ceil(similarity * n - 1e-9)) + 1]
+
+
+def prefix_pairs(sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs a < b of sets (rep, component, n, prefix) of different components that may have the similarity.
+
+    All pairs that have it are among them: what two sets can have in common is bounded by their sizes and by
+    what follows the shingle at which they meet first.
+    """
+    spark = ship_package(sets.sparkSession)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    postings = sets.select("rep", "component", "n", F.posexplode("prefix").alias("at", "h"))
+    placed = postings.select("h", "rep", "component", "n", "at").repartition(n, "h").sortWithinPartitions("h", "n")
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= 1 << 19:
+                whole = pa.Table.from_batches(held)
+                h = np.asarray(whole.column("h"))
+                cut = int(np.searchsorted(h, h[-1]))
+                if cut:
+                    yield from pairs(whole.slice(0, cut))
+                    held, size = whole.slice(cut).to_batches(), len(h) - cut
+        if held:
+            yield from pairs(pa.Table.from_batches(held))
+
+    def pairs(part: pa.Table):
+        h, rep, component, n, at = (np.asarray(part.column(c)) for c in ("h", "rep", "component", "n", "at"))
+        counts = np.unique(h, return_counts=True)[1]
+        # rows that follow in the run of a shingle; the larger sets come later
+        left = np.repeat(np.cumsum(counts), counts) - np.arange(len(h)) - 1
+        i = np.flatnonzero(left > 0)
+        found, pending, apart = [], 0, 1
+        while len(i):
+            j = i + apart
+            need = np.ceil(similarity / (1 + similarity) * (n[i].astype(np.int64) + n[j]) - 1e-9)
+            most = np.minimum(n[i] - at[i], n[j] - at[j])
+            fits = n[i] >= similarity * n[j] - 1e-9
+            keep = fits & (most >= need) & (component[i] != component[j]) & (rep[i] != rep[j])
+            if keep.any():
+                x, y = rep[i[keep]], rep[j[keep]]
+                found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
+                pending += int(keep.sum())
+            if pending > 1 << 20:
+                found = [np.unique(np.concatenate(found), axis=0)]
+                yield pa.RecordBatch.from_arrays([pa.array(found[0][:, 0]), pa.array(found[0][:, 1])], names=["a", "b"])
+                found, pending = [], 0
+            apart += 1
+            # sets only grow along a run, so what no longer fits by size never will
+            i = i[fits & (left[i] >= apart)]
+        if found:
+            both = np.unique(np.concatenate(found), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+    return placed.mapInArrow(run, "a long, b long")
+
+
+def sets_of(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
+    """Shingle sets (rep, shingles) of the texts that pairs name, made again from the texts.
+
+    A bitmap of fixed size tells most other texts from them before any shuffle; the join leaves no wrong ones.
+    """
+    spark = docs.sparkSession
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAP))
+    nodes = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
+    parts = nodes.select(bit("rep").alias("bit")).groupBy(F.expr("bit div 32768").alias("part")).agg(F.bitmap_construct_agg(F.expr("bit % 32768")).alias("bits")).collect()
+    bits = np.zeros((BITMAP >> 15, 4096), dtype=np.uint8)
+    for x in parts:
+        bits[x["part"]] = np.frombuffer(x["bits"], dtype=np.uint8)
+    wanted = spark.sparkContext.broadcast(bits.ravel())
+    ship_package(spark)
+
+    def run(batches):
+        have = wanted.value
+        for batch in batches:
+            at = np.asarray(batch.column("bit"))
+            chosen = batch.filter(pa.array((have[at >> 3] >> (at & 7) & 1).astype(bool)))
+            for part in slices(chosen):
+                sets = [shingle_set(t, size) for t in part.column("text").to_pylist()]
+                keys = set_keys(sets)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(keys[:, 0]), pa.array(keys[:, 1]), _lists(sets)], names=["rep", "k1", "k2", "shingles"])
+
+    made = docs.filter("doc_id is not null").select("doc_id", "text", bit("doc_id").alias("bit")).mapInArrow(run, "rep long, k1 long, k2 long, shingles array<long>")
+    return written(made.join(distinct.select("rep", "k1", "k2").join(nodes, "rep"), ["rep", "k1", "k2"]).select("rep", "shingles"), "named-sets")
+
+
+def set_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """128 bits of hash of each set, as two signed longs."""
+    return np.array([[xxhash.xxh64_intdigest(s.tobytes(), k) for k in (0, 1)] for s in sets], dtype=np.uint64).reshape(-1, 2).view(np.int64)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Of the pairs (a, b) those whose sets (rep, shingles) have that Jaccard similarity at least."""
+    one = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x"))
+    other = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y"))
+    shared = F.size(F.array_intersect("x", "y"))
+    # a quotient and not a product: four fifths are then exactly the double 0.8
+    return pairs.join(one, "a").join(other, "b").filter(shared / (F.size("x") + F.size("y") - shared) >= F.lit(similarity)).select("a", "b")
+
+
 def similar_components(docs: DataFrame, size: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Groups of texts by an estimated shingle similarity: doc_id, component_id; see :func:`simhash_components`.
+    """Groups of texts by the Jaccard similarity of their shingle sets: doc_id, component_id; see :func:`simhash_components`.
 
-    Wide fingerprints measure similarities that a few bits of 64 do not tell.
+    Wide fingerprints and BK-trees find most links and so join large groups at little cost; a prefix filter over the
+    shingles finds every further pair between different groups. Both only propose: a pair is linked
+    when its whole sets have the similarity.
     """
 
+    texts = id_text(docs, id_col, text_col)
+    order = docs.sparkSession.sparkContext.broadcast(frequent_shingles(texts, size))
+
     def make():
+        often, place = order.value
+
         def step(ids, texts):
             lanes = np.array([wide_fingerprint(t, size) for t in texts], dtype=np.uint64).reshape(-1, LANES).view(np.int64)
-            return {"doc_id": ids, "lanes": pa.FixedSizeListArray.from_arrays(pa.array(lanes.ravel()), LANES).cast(pa.list_(pa.int64()))}
+            sets = [shingle_set(t, size) for t in texts]
+            keys = set_keys(sets)
+            first = _lists([prefix(s, similarity, often, place) for s in sets])
+            return {"doc_id": ids, "k1": keys[:, 0].copy(), "k2": keys[:, 1].copy(), "lanes": pa.FixedSizeListArray.from_arrays(pa.array(lanes.ravel()), LANES).cast(pa.list_(pa.int64())), "n": np.array([len(s) for s in sets], dtype=np.int32), "prefix": first}
 
         return step
 
-    prints = written(map_text(id_text(docs, id_col, text_col), make, "doc_id long, lanes array<long>"), "wide-fingerprints")
-    distinct = written(prints.groupBy("lanes").agg(F.min("doc_id").alias("rep")).filter("rep is not null"), "wide-distinct")
-    components = connected_components(link_similar(distinct, bits_apart(similarity)), "similar")
-    named = distinct.join(components, F.col("rep") == F.col("node"), "left").select("lanes", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(named, "lanes", "left").select("doc_id", "component_id")
+    def links(pairs):
+        pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        return written(verified(pairs, sets_of(texts, distinct, pairs, size), similarity), "links")
+
+    prints = written(map_text(texts, make, "doc_id long, k1 long, k2 long, lanes array<long>, n int, prefix array<long>"), "wide-fingerprints")
+    distinct = written(prints.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("lanes").alias("lanes"), F.first("n").alias("n"), F.first("prefix").alias("prefix")).filter("rep is not null"), "wide-distinct")
+    near = links(link_similar(distinct.select("lanes", "rep"), bits_apart(similarity)))
+    joined = connected_components(near, "joined")
+    sets = distinct.join(joined, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("component"), "n", "prefix")
+    rest = links(prefix_pairs(sets, similarity))
+    components = connected_components(near.union(rest), "similar")
+    named = distinct.join(components, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
+    return prints.select("doc_id", "k1", "k2").join(named, ["k1", "k2"], "left").select("doc_id", "component_id")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -378,3 +378,49 @@ def test_similar_components(spark, docs):
     odd = {r["doc_id"]: r["component_id"] for r in simhash.similar_components(docs, 5, 0.8).collect()}
     assert odd[0] == odd[1] == odd[2] == 0 and odd[4] == 3 and odd[13] == 13
     assert simhash.similar_components(empty(docs), 5, 0.8).count() == 0
+
+
+@pytest.mark.parametrize("sampled", [1, 20_000])
+def test_similar_components_are_exact(spark, monkeypatch, sampled):
+    """Similarities from 0.6 to 0.95, with repeated words and a passage that many texts have, against all pairs."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    passage = " ".join(word() for _ in range(30))
+    rows = []
+    for k in range(120):
+        words = [word() for _ in range(rng.choice([40, 90, 200]))]
+        if k % 3 == 0:
+            words = (words[:20] * 3 + words)[: len(words)]
+        text = " ".join(words)
+        near = list(words)
+        for i in rng.sample(range(len(words)), max(round(len(words) * rng.choice([0.005, 0.02, 0.03, 0.04, 0.06])), 1)):
+            near[i] = word()
+        rows += [(3 * k, text), (3 * k + 1, " ".join(near)), (3 * k + 2, f"{passage} {text}" if k % 2 else f"{passage} {word()}")]
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for _, t in rows]
+    share = np.array([[len(a & b) / len(a | b) for b in sets] for a in sets])
+    links = share >= 0.8
+    assert ((share > 0.6) & ~links).sum() > 40 and (links & (share < 0.9)).sum() > 40
+    label = np.arange(len(rows))
+    while True:
+        new = np.array([label[x].min() for x in links])
+        if (new == label).all():
+            break
+        label = new
+    monkeypatch.setattr(simhash, "SAMPLE", sampled)
+    got = dict(tuple(r) for r in simhash.similar_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 5, 0.8).collect())
+    assert [got[k] for k in range(len(rows))] == label.tolist()
+
+
+def test_prefix_pairs_hold_every_similar_pair(spark):
+    """Without fingerprints the prefix filter alone proposes all pairs at the threshold."""
+    rng = random.Random(4)
+    sets = []
+    for k in range(60):
+        base = [rng.randrange(1 << 62) for _ in range(rng.choice([5, 9, 45, 100]))]
+        sets += [sorted(base), sorted(base[: len(base) - len(base) // 9] + [rng.randrange(1 << 62) for _ in range(len(base) // 9)]), sorted([*base, *(rng.randrange(1 << 62) for _ in range(len(base) // 4))])]
+    none = np.empty(0, np.int64)
+    rows = [(k, k, len(s), simhash.prefix(np.array(s), 0.8, none, none).tolist(), s) for k, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "rep long, component long, n int, prefix array<long>, shingles array<long>")
+    got = {tuple(r) for r in simhash.verified(simhash.prefix_pairs(df, 0.8), df, 0.8).collect()}
+    expected = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if len(set(sets[a]) & set(sets[b])) / len(set(sets[a]) | set(sets[b])) >= 0.8}
+    assert got == expected and len(expected) > 100
