@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.bpe import round_trip
 from quillspark.llm.common import shared_folder
 from quillspark.llm.decontaminate import find_contamination
-from quillspark.llm.line_dedup import dedup_lines
+from quillspark.llm.line_dedup import ALONE, dedup_lines
 from quillspark.llm.simhash import similar_components
 from quillspark.llm.toxicity import score_toxicity
 from quillspark.sources.tables import table
@@ -33,8 +33,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, less the lines of later repeated runs."""
-    return _documents(dedup_lines(docs.select(*COLUMNS)))
+    """All documents, less the lines of later repeated runs and later single lines that are not very short."""
+    return _documents(dedup_lines(docs.select(*COLUMNS), alone=ALONE))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,6 +19,8 @@ from quillspark.sources.tables import table
 
 #: Lines in a window, that is the shortest run that is deleted.
 WINDOW = 2
+#: Characters, less outer white space, from which the pipeline deletes a line that repeats alone.
+ALONE = 8
 
 
 def _fingerprint_at(hashes: Column, start: Column, window: int) -> Column:
@@ -30,16 +32,19 @@ def _fingerprint_at(hashes: Column, start: Column, window: int) -> Column:
     return best
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", least: int = 0) -> DataFrame:
     """Starts of the line windows that also start earlier: doc_id, t (hash of the text), starts array<int> (from 0).
 
     Earlier means a smaller (doc_id, start); rows of one doc_id are ordered by a hash of
-    their text, and equal rows count as one row.
+    their text, and equal rows count as one row. With ``least`` only windows whose first line has so many
+    characters, less outer white space, count.
     """
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     split = F.split("text", "\n", -1)
-    lines = keyed.filter(F.col("text").isNotNull() & (F.lit(window < 2) | F.col("text").contains("\n"))).select("doc_id", F.xxhash64("text").alias("t"), F.transform(split, lambda x: F.xxhash64(x)).alias("h1"), F.transform(split, lambda x: F.xxhash64(F.lit(1), x)).alias("h2"))
+    lines = keyed.filter(F.col("text").isNotNull() & (F.lit(window < 2) | F.col("text").contains("\n"))).select("doc_id", F.xxhash64("text").alias("t"), F.transform(split, lambda x: F.xxhash64(x)).alias("h1"), F.transform(split, lambda x: F.xxhash64(F.lit(1), x)).alias("h2"), *([F.transform(split, lambda x: F.length(F.btrim(x, F.lit(" \t\r\x0b\x0c"))) >= least).alias("long")] if least else []))
     places = F.when(F.size("h1") >= window, F.sequence(F.lit(0), F.size("h1") - F.lit(window)))
+    if least:
+        places = F.filter(places, lambda s: F.get(F.col("long"), s))
     selected = F.transform(
         places,
         lambda s: F.struct(
@@ -60,22 +65,32 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
     return later.groupBy("doc_id", "t").agg(F.collect_set("start").alias("starts"))
 
 
-def dedup_lines(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_lines(docs: DataFrame, window: int, id_col: str, text_col: str, alone: int | None) -> DataFrame:
+    """Positions of the lines that later windows cover, and of later lines of ``alone`` characters: doc_id, t, lines."""
+    lines = lambda width: F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + F.lit(width - 1))))).alias("lines")
+    found = repeated_windows(docs, window, id_col, text_col).select("doc_id", "t", lines(window))
+    if alone is None:
+        return found
+    single = repeated_windows(docs, 1, id_col, text_col, max(alone, 1)).select("doc_id", "t", lines(1))
+    return found.union(single).groupBy("doc_id", "t").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("lines"))
+
+
+def dedup_lines(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", alone: int | None = None) -> DataFrame:
     """Every row of ``docs`` with its text less the lines of later repeated runs.
 
     Adds n_lines, n_removed and the changed text under ``text_col``; other columns stay.
     Lines end at line feeds and are compared as they are. A null text has no lines and stays
-    null; an empty text is one empty line. Texts of fewer lines than the window stay as they
-    are. Equal rows are each other's copy only under different doc_ids: repeated rows of one doc_id and text
+    null; an empty text is one empty line. A line of at least ``alone`` characters (less outer white
+    space; None for no line) is also deleted where it alone started earlier, be its neighbours others or none. Without
+    that, texts of fewer lines than the window stay as they are. Equal rows are each other's copy only under different doc_ids: repeated rows of one doc_id and text
     keep the same lines. A null doc_id comes before all others. An empty table gives no rows.
     """
-    found = repeated_windows(docs, window, id_col, text_col).select(F.col("doc_id").alias("__qs_d"), F.col("t").alias("__qs_t"), F.col("starts").alias("__qs_s"))
+    found = repeated_lines(docs, window, id_col, text_col, alone).select(F.col("doc_id").alias("__qs_d"), F.col("t").alias("__qs_t"), F.col("lines").alias("__qs_s"))
     keyed = docs.withColumn("__qs_k", F.col(id_col).cast("long")).withColumn("__qs_x", F.xxhash64(F.col(text_col).cast("string")))
     joined = keyed.join(found, F.col("__qs_k").eqNullSafe(F.col("__qs_d")) & (F.col("__qs_x") == F.col("__qs_t")), "left").drop("__qs_d", "__qs_t", "__qs_k", "__qs_x")
     lines = F.split(F.col(text_col).cast("string"), "\n", -1)
-    # the positions that the later windows cover, and those that stay
-    hit = F.array_sort(F.array_distinct(F.flatten(F.transform("__qs_s", lambda s: F.sequence(s, s + F.lit(window - 1))))))
-    marked = joined.withColumn("__qs_g", hit)
+    # the positions of repeated lines, and those that stay
+    marked = joined.withColumn("__qs_g", F.array_sort("__qs_s"))
     both = F.array(F.struct(lines.alias("l"), F.array_except(F.sequence(F.lit(0), F.size(lines) - F.lit(1)), F.col("__qs_g")).alias("k")))
     # the one struct binds the lines, so they are split once and not at each position
     rest = F.transform(both, lambda x: F.array_join(F.transform(x["k"], lambda p: F.get(x["l"], p)), "\n"))

@@ -246,6 +246,40 @@ def test_line_dedup_odd_rows(docs):
     assert line_dedup.dedup_lines(docs.withColumn("doc_id", F.lit(None).cast("long"))).count() == len(TEXTS) + 1
 
 
+def test_lone_repeated_lines(spark):
+    """Single repeated lines between different neighbours and one-line texts go, shorter ones and blanks stay; by brute force too."""
+    licence = "This work is licensed under some licence"
+    rows = [(0, f"first\n{licence}\nnext"), (1, f"other\n{licence}\nlast}}"), (2, licence), (3, "  }   \nx\n\ny"), (4, "  }   \nz\n\nw"), (5, None), (6, ""), (7, f"a\n{licence}\nb\n{licence} ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(df, alone=8).collect()}
+    assert {k: r["text"] for k, r in got.items()} == dict(rows) | {1: "other\nlast}", 2: "", 7: f"a\nb\n{licence} "}
+    assert [got[k]["n_removed"] for k in range(8)] == [0, 1, 1, 0, 0, 0, 0, 1]
+
+    rng = random.Random(5)
+    words = ["a", "bb", "ccc", "dddd", "eeeee", "ffffff", " c ", "  "]
+    rows = [(k, "\n".join(rng.choice(words) + rng.choice(["", "", str(rng.randrange(9))]) for _ in range(rng.randint(1, 9)))) for k in range(50)]
+    twos, ones, expected = {}, {}, {}
+    for k, t in rows:
+        lines, gone = t.split("\n"), set()
+        for i, x in enumerate(lines):
+            if i + 1 < len(lines) and twos.setdefault((x, lines[i + 1]), (k, i)) != (k, i):
+                gone |= {i, i + 1}
+            if len(x.strip()) >= 4 and ones.setdefault(x, (k, i)) != (k, i):
+                gone.add(i)
+        expected[k] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+    found = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), alone=4)
+    assert {r["doc_id"]: r["text"] for r in found.collect()} == expected
+
+
+def test_pipeline_drops_lone_lines(spark):
+    import corpus_pipeline as P
+
+    line = "a licence line that stands alone"
+    df = spark.createDataFrame([(k, f"text {k}\n{line}\nend {k}", "en", "s", 0) for k in range(5)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"]: r["text"] for r in P.dedup_repeated_lines(spark, df, "").collect()}
+    assert kept == {k: f"text 0\n{line}\nend 0" if k == 0 else f"text {k}\nend {k}" for k in range(5)}
+
+
 def brute_substrings(rows, w):
     seen = {}
     split = [(k, substring_dedup.words_of(t)) for k, t in rows]
