@@ -250,7 +250,7 @@ def validate_eval_set(spark, d):
 
 
 def paragraphs(spark, d):
-    c = table(spark, d, "conversations").filter("turn < 4").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
     p = c.select("conv_id", dataset.paragraph(F.transform("t", lambda x: x["text"])).alias("p"))
     return p.select("conv_id", F.col("p.text").alias("text"), F.posexplode("p.spans").alias("i", "s")).select("conv_id", F.col("i").cast("long").alias("i"), F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("sentence"), F.length("text").cast("long").alias("chars"))
 

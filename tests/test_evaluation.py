@@ -147,6 +147,25 @@ def test_paragraph_joins_without_double_space(spark):
     assert [got["text"][x["start"] : x["end"]] for x in got["spans"]] == ["A b.", "C.", "D.", "", "E."]
 
 
+def test_paragraphs_hold_every_turn(spark):
+    """The query against a plain loop over all turns of the table."""
+    white = " \t\n\x0b\f\r"
+    rows = spark.read.parquet(f"{SF}/conversations.parquet").collect()
+    turns = {}
+    for r in sorted(rows, key=lambda r: (r["conv_id"], r["turn"])):
+        turns.setdefault(r["conv_id"], []).append(r["text"])
+    assert max(map(len, turns.values())) > 4
+    expected = []
+    for key, texts in turns.items():
+        whole = ""
+        for t in texts:
+            gap = whole and t and t[0] not in white and whole[-1] not in white
+            whole += " " * bool(gap) + t
+        expected += [(key, i, t.strip(white), len(whole)) for i, t in enumerate(texts)]
+    got = [tuple(r) for r in evaluation.paragraphs(spark, SF).select("conv_id", "i", "sentence", "chars").collect()]
+    assert sorted(got) == sorted(expected) and len(got) == len(rows)
+
+
 def test_relayout(spark):
     row = spark.createDataFrame([("i", "q", "a", "t", "l", (["x", "y"], [0, 1]), (["x"], [["s"]]))], "id string, question string, answer string, type string, level string, supporting_facts struct<title:array<string>,sent_id:array<int>>, context struct<title:array<string>,sentences:array<array<string>>>")
     got = dataset.relaid(row).first()
