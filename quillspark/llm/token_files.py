@@ -4,27 +4,29 @@ A file holds the ids of a range of documents, in ascending order of doc_id, each
 id in the fewest bits that the vocabulary needs:
 
 ====================  =====================================================
-header, 56 bytes      magic ``QSTOKEN1``, then 6 little-endian uint64: bits an
-                      id, ids, documents, those without a doc_id, ids a block,
-                      bytes of the packed area
+packed area           blocks; id k of a block takes the bits
+                      ``k * bits`` to ``(k + 1) * bits - 1``, low bit first
 document table        doc_id int64 x documents (those without one come first and
                       have 0), then the first id of each document and, last, the
                       number of ids: uint64
 block table           byte offset of each block in the packed area: uint64
-packed area           blocks; id k of a block takes the bits
-                      ``k * bits`` to ``(k + 1) * bits - 1``, low bit first
+footer, 56 bytes      6 little-endian uint64: bits an id, ids, documents, those
+                      without a doc_id, ids a block, bytes of the packed area;
+                      then the magic ``QSTOKEN2``
 ====================  =====================================================
 
 Blocks start at whole bytes, so numpy unpacks one, or many, at a time, and any
-id is read from one block.
+id is read from one block. The tables come last, so a writer holds one block of ids.
 """
 
 from __future__ import annotations
 
+import io
 import re
 import struct
 import uuid
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm.common import arrow_schema, id_text, release_memory, shared_folder, slices
+from quillspark.llm.pretokens import ODD, OTHER, plain_parts
 from quillspark.llm.vocab import load_tokenizer
 from quillspark.shipping import ship_package
 from quillspark.sources.tables import table
@@ -39,12 +42,13 @@ from quillspark.sources.tables import table
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 BLOCK_IDS = 1 << 16
-MAGIC = b"QSTOKEN1"
+MAGIC = b"QSTOKEN2"
+FOOTER = 56
 
-#: Characters that Python takes for white space and the library's pattern does not; a text that holds one is encoded whole.
-ODD = re.compile("[\x1c-\x1f\x85᠎]")
 CACHE_ENTRIES = 1 << 20
 CACHE_CHARS = 64
+#: Missing words that are encoded as one text.
+JOINED = 64
 
 _cache: dict[str, dict[str, bytes]] = {}
 
@@ -72,16 +76,51 @@ def unpack(data, n: int, bits: int) -> np.ndarray:
     return np.packbits(out, axis=1, bitorder="little").view("<u4").ravel().astype(np.uint32)
 
 
+class TokenWriter:
+    """Writes one file: the ids as they come, block by block, then the tables."""
+
+    def __init__(self, out, bits: int, block: int = BLOCK_IDS):
+        self.out, self.bits, self.block = out, bits, block
+        self.rest = np.empty(0, dtype="<u4")
+        self.doc_ids, self.lengths, self.offsets = [], [], [0]
+        self.nulls = self.n_ids = 0
+
+    def add(self, doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, nulls: int = 0) -> None:
+        """More documents, in order, with their numbers of ids and the ids of all of them."""
+        self.doc_ids.append(doc_ids.astype("<i8"))
+        self.lengths.append(lengths.astype("<u8"))
+        self.nulls += nulls
+        self.n_ids += len(ids)
+        ids = np.concatenate([self.rest, ids]) if len(self.rest) else ids
+        full = len(ids) // self.block * self.block
+        for at in range(0, full, self.block):
+            self._put(ids[at : at + self.block])
+        self.rest = ids[full:].copy()
+
+    def _put(self, ids: np.ndarray) -> None:
+        data = pack(ids, self.bits)
+        self.out.write(data)
+        self.offsets.append(self.offsets[-1] + len(data))
+
+    def close(self) -> tuple[np.ndarray, int]:
+        """Write the rest; the documents' ids and the number of token ids."""
+        if len(self.rest):
+            self._put(self.rest)
+        doc_ids = np.concatenate(self.doc_ids)
+        self.out.write(doc_ids.tobytes())
+        self.out.write(np.concatenate(([0], np.cumsum(np.concatenate(self.lengths)))).astype("<u8").tobytes())
+        self.out.write(np.array(self.offsets[:-1], dtype="<u8").tobytes())
+        self.out.write(struct.pack("<6Q", self.bits, self.n_ids, len(doc_ids), self.nulls, self.block, self.offsets[-1]) + MAGIC)
+        return doc_ids, self.n_ids
+
+
 def file_bytes(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, bits: int, block: int = BLOCK_IDS, nulls: int = 0):
-    """The parts of a file, in order."""
-    starts = np.concatenate(([0], np.cumsum(lengths))).astype("<u8")
-    blocks = [pack(ids[i : i + block], bits) for i in range(0, len(ids), block)]
-    offsets = np.concatenate(([0], np.cumsum([len(b) for b in blocks])))[: len(blocks)].astype("<u8")
-    yield MAGIC + struct.pack("<6Q", bits, len(ids), len(doc_ids), nulls, block, sum(map(len, blocks)))
-    yield doc_ids.astype("<i8").tobytes()
-    yield starts.tobytes()
-    yield offsets.tobytes()
-    yield from blocks
+    """The bytes of a whole file, in one part."""
+    out = io.BytesIO()
+    writer = TokenWriter(out, bits, block)
+    writer.add(doc_ids, lengths, ids, nulls)
+    writer.close()
+    yield out.getvalue()
 
 
 class TokenFile:
@@ -89,22 +128,25 @@ class TokenFile:
 
     def __init__(self, handle):
         self.handle = handle
-        head = handle.read(56)
-        if head[:8] != MAGIC:
+        handle.seek(0, 2)
+        size = handle.tell()
+        handle.seek(max(0, size - FOOTER))
+        foot = handle.read(FOOTER)
+        if foot[48:] != MAGIC:
             raise ValueError("not a token file")
-        self.bits, self.n_ids, n_docs, self.nulls, self.block, self.packed = struct.unpack("<6Q", head[8:])
+        self.bits, self.n_ids, n_docs, self.nulls, self.block, self.packed = struct.unpack("<6Q", foot[:48])
+        n_blocks = -(-self.n_ids // self.block)
+        handle.seek(self.packed)
         self.doc_ids = np.frombuffer(handle.read(8 * n_docs), "<i8")
         self.starts = np.frombuffer(handle.read(8 * (n_docs + 1)), "<u8").astype(np.int64)
-        n_blocks = -(-self.n_ids // self.block)
         self.offsets = np.append(np.frombuffer(handle.read(8 * n_blocks), "<u8").astype(np.int64), self.packed)
-        self.base = 56 + 8 * (2 * n_docs + 1 + n_blocks)
 
     def ids(self, start: int, stop: int) -> np.ndarray:
         """The ids from ``start`` to ``stop`` (exclusive), reading only their blocks."""
         if stop <= start:
             return np.empty(0, np.uint32)
         first, last = start // self.block, (stop - 1) // self.block
-        self.handle.seek(self.base + int(self.offsets[first]))
+        self.handle.seek(int(self.offsets[first]))
         data = memoryview(self.handle.read(int(self.offsets[last + 1] - self.offsets[first])))
         parts = []
         for b in range(first, last + 1):
@@ -115,29 +157,46 @@ class TokenFile:
 
 
 def _encoder(name: str):
-    """Ids of many texts: unit by unit through a worker's cache, since a unit of no white space is encoded on its own."""
+    """Ids of many texts: pre-token by pre-token through a worker's cache, in lower case as the tokenizer takes them.
+
+    Words of uncommon characters are kept as they are and encoded one by one; missing pre-tokens are encoded many at a call,
+    joined by spaces, and told apart by the vocabulary's word ends.
+    """
     tokenizer = load_tokenizer(name)
     specials = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     odd = re.compile("|".join([ODD.pattern, *map(re.escape, specials)]))
+    vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+    ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+    ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
     cache = _cache.setdefault(name, {})
 
     def raw(texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, dtype="<u4").tobytes() for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def fill(missing: list[str]) -> None:
+        alone = [p for p in missing if OTHER.search(p)]
+        cache.update(zip(alone, raw(alone), strict=True))
+        common = [p for p in missing if not OTHER.search(p)]
+        for at in range(0, len(common), 1 << 14):
+            some = common[at : at + (1 << 14)]
+            encoded = tokenizer.encode_batch_fast([" ".join(some[k : k + JOINED]) for k in range(0, len(some), JOINED)], add_special_tokens=False)
+            ids = np.concatenate([np.array(x.ids, dtype="<u4") for x in encoded])
+            stops = ((np.flatnonzero(ends_word[ids]) + 1) * 4).tolist()
+            data = ids.tobytes()
+            cache.update(zip(some, [data[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)], strict=True))
+
     def encode(texts: list[str | None]) -> list[bytes]:
         if len(cache) > CACHE_ENTRIES:
             cache.clear()
-        plain = [None if t is None or odd.search(t) else t.split() for t in texts]
-        missing = {u for units in plain if units for u in units if u not in cache}
-        ordered = list(missing)
-        fresh = dict(zip(ordered, raw(ordered), strict=True))
-        cache.update(fresh)
+        parts = [None if t is None or odd.search(t) else plain_parts(t) for t in texts]
+        missing = list({p for found in parts if found for p in found if p not in cache})
+        fill(missing)
         out = []
-        for text, units in zip(texts, plain, strict=True):
-            out.append(b"".join(map(cache.__getitem__, units)) if units is not None else raw([text])[0] if text else b"")
-        for u in ordered:
-            if len(u) > CACHE_CHARS:
-                del cache[u]
+        for text, found in zip(texts, parts, strict=True):
+            out.append(b"".join(map(cache.__getitem__, found)) if found is not None else raw([text])[0] if text else b"")
+        for p in missing:
+            if len(p) > CACHE_CHARS:
+                del cache[p]
         return out
 
     return encode
@@ -156,31 +215,28 @@ def write_token_files(docs: DataFrame, folder: str, name: str = TOKENIZER, end_i
     target = arrow_schema(spark, schema)
 
     def write(batches):
+        batches = (b for b in batches if b.num_rows)
+        first = next(batches, None)
+        if first is None:
+            return
         encode, end = _encoder(name), struct.pack("<I", end_id)
         bits = bits_for(load_tokenizer(name).get_vocab_size(with_added_tokens=True))
-        doc_ids, lengths, pieces, nulls = [], [], [], 0
-        for batch in batches:
-            for part in slices(batch):
-                encoded = encode(part.column("text").to_pylist())
-                keys = part.column("doc_id")
-                nulls += keys.null_count
-                doc_ids.append(np.asarray(keys.fill_null(0)))
-                ids = np.frombuffer(b"".join(x + end for x in encoded), "<u4")
-                pieces.append(ids.astype("<u2") if bits <= 16 else ids)
-                lengths.append(np.array([len(x) // 4 + 1 for x in encoded], dtype=np.int64))
-        if not doc_ids:
-            return
-        doc_ids, lengths, ids = np.concatenate(doc_ids), np.concatenate(lengths), np.concatenate(pieces)
         fs, base = pafs.FileSystem.from_uri(folder)
         fs.create_dir(base, recursive=True)
         unique = uuid.uuid4().hex
-        path = f"{base}/{unique}.tokens"
         with fs.open_output_stream(f"{base}/.{unique}.part") as out:
-            for piece in file_bytes(doc_ids, lengths, ids, bits, nulls=nulls):
-                out.write(piece)
+            writer = TokenWriter(out, bits)
+            for batch in chain([first], batches):
+                for part in slices(batch):
+                    encoded = encode(part.column("text").to_pylist())
+                    keys = part.column("doc_id")
+                    lengths = np.fromiter((len(x) // 4 + 1 for x in encoded), np.int64, len(encoded))
+                    writer.add(np.asarray(keys.fill_null(0)), lengths, np.frombuffer(b"".join([x + end for x in encoded]), "<u4"), keys.null_count)
+            doc_ids, n_ids = writer.close()
+        path = f"{base}/{unique}.tokens"
         fs.move(f"{base}/.{unique}.part", path)
-        yield pa.RecordBatch.from_pydict({"path": [path], "first_doc": [None if nulls else int(doc_ids[0])], "last_doc": [None if nulls == len(doc_ids) else int(doc_ids[-1])], "n_docs": [len(doc_ids)], "n_ids": [len(ids)]}, schema=target)
-        del doc_ids, lengths, ids
+        nulls = writer.nulls
+        yield pa.RecordBatch.from_pydict({"path": [path], "first_doc": [None if nulls else int(doc_ids[0])], "last_doc": [None if nulls == len(doc_ids) else int(doc_ids[-1])], "n_docs": [len(doc_ids)], "n_ids": [n_ids]}, schema=target)
         release_memory()
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
