@@ -1,12 +1,9 @@
 """Byte-level BPE by merge replay over the distinct pre-tokens of a corpus slice.
 
-The distinct pre-tokens of a slice of the corpus are laid out as one sequence of byte
-tokens, with an index of the rank of the pair at each position, filled pair by distinct pair. Merges
-are replayed in rank order over all words at once. Words do not touch each other, so
-a wave takes from the index each word's pair of the lowest rank, merges it, and looks up only
-the pairs of the touched neighbours anew. Long words, which would need many waves, are replayed
-one merge at a time: a heap of ranks over an inverted index from pair to positions.
-Slices are parts of Arrow batches, so no pre-token is shuffled and a lost task is
+The distinct pre-tokens of a slice of the corpus that a worker does not know yet are laid out as one
+sequence of byte tokens, with an inverted index from the rank of a pair to its positions in all words.
+Every merge is applied in rank order to all its positions, and looks up only the pairs of the touched
+neighbours anew. Slices are parts of Arrow batches, so no pre-token is shuffled and a lost task is
 encoded again from its own rows.
 """
 
@@ -15,7 +12,6 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import id_text, map_text
+from quillspark.llm.pretokens import ODD, OTHER, spaced_parts
 from quillspark.llm.vocab import tokenizer_path
 from quillspark.shipping import ship_package
 from quillspark.sources.tables import table
@@ -32,17 +29,11 @@ from quillspark.sources.tables import table
 RANKS = "byte_bpe_multi_50k.tiktoken"
 PATTERN = regex.compile(public_tokenizers.PATTERN)
 
-#: Units, as the pattern leaves white space: each pre-token lies within one.
-UNITS = re.compile(r"\s+(?!\S)| ?\S+|\s")
-#: Characters that are white space to one of the two regular expression engines only; a text that holds one is split as a whole.
-ODD = re.compile("[\x1c-\x1f\x85\u180e]")
 #: Bounds of a worker's cache: entries, and characters of a unit that is kept.
-CACHE_ENTRIES = 1 << 17
+CACHE_ENTRIES = 1 << 18
 CACHE_CHARS = 48
 #: Ids that are decoded at a time.
 DECODE_IDS = 1 << 19
-#: Bytes of a word that is replayed in waves.
-WAVE_BYTES = 96
 
 _caches: dict[str, dict[str, bytes]] = {}
 
@@ -62,143 +53,103 @@ class Bpe:
         codes = np.array([(a << 32) | b for a, b in pairs] or [-1], dtype=np.int64)
         order = np.argsort(codes)
         self.codes, self.results = codes[order], np.array(list(pairs.values()) or [0], dtype=np.int64)[order]
+        left, right = self.codes >> 32, self.codes & 0xFFFFFFFF
+        #: Tokens that take part in a pair of a lower rank than their own.
+        self.delicate = set(left[self.results < left].tolist()) | set(right[self.results < right].tolist())
+        # ranks whose pairs may overlap: one of them ends with what another begins with
+        ends, starts = np.stack([self.results, right], axis=1), np.stack([self.results, left], axis=1)
+        self.overlapping = {r for r, _ in set(map(tuple, ends.tolist())) & set(map(tuple, starts.tolist()))}
+
+    def ranks_at(self, code: np.ndarray) -> np.ndarray:
+        """Rank of each pair, left and right in one code, or NONE."""
+        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        return np.where(self.codes[at] == code, self.results[at], self.NONE)
 
     def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Rank of each pair, or NONE."""
+        """The same of many pairs of few kinds."""
         code, back = np.unique((left << 32) | right, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-        return np.where(self.codes[at] == code, self.results[at], self.NONE)[back]
-
-    def merged(self, left: int, right: int) -> int:
-        """The id that a pair of ids merges to, or -1."""
-        return self.pairs.get((left, right), -1)
+        return self.ranks_at(code)[back]
 
     def encode_words(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word as little-endian uint32."""
-        short = [k for k, w in enumerate(words) if len(w) <= WAVE_BYTES]
-        out = dict(zip(short, self.in_waves([words[k] for k in short]), strict=True))
-        long = [k for k in range(len(words)) if k not in out]
-        out |= {k: np.array(ids, dtype="<u4").tobytes() for k, ids in zip(long, self.one_by_one([words[k] for k in long]), strict=True)}
-        return [out[k] for k in range(len(words))]
-
-    def in_waves(self, words: list[bytes]) -> list[bytes]:
-        """The merges of all words together, a wave at a time."""
+        """Ids of each word as little-endian uint32, by replaying the merges over all words together.
+
+        Ranks are ids, so a pair merges to the id that is its rank. The index holds the positions of each
+        rank's pairs: those of the bytes in one sorted array, later ones in lists. Ranks wait in a heap. A rank's
+        merges are applied to all its positions at once, and only the pairs of the touched neighbours are looked up
+        anew. Where a merge may make a pair of a lower rank, the rest of that word's positions
+        is put off, because in that word the lower rank comes first.
+        """
         lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         ids = np.array(self.single, dtype=np.int64)[np.frombuffer(b"".join(words), dtype=np.uint8)]
+        n = len(ids)
+        if not n:
+            return [b""] * len(words)
         word = np.repeat(np.arange(len(words)), lengths)
-        done_ids, done_word = [], []
-        rank = np.full(len(ids), self.NONE)
-        inside = np.flatnonzero(word[1:] == word[:-1])
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        ends = np.cumsum(lengths)
+        after[ends[lengths > 0] - 1] = -1
+        before[(ends - lengths)[lengths > 0]] = -1
+        rank = np.full(n, self.NONE)
+        inside = np.flatnonzero(after >= 0)
         rank[inside] = self.ranks_of(ids[inside], ids[inside + 1])
-        while len(ids):
-            start = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-            size = np.diff(np.append(start, len(word)))
-            least = np.minimum.reduceat(rank, start)
-            going = np.repeat(least < self.NONE, size)
-            done_ids.append(ids[~going])
-            done_word.append(word[~going])
-            if not going.any():
-                break
-            at = np.flatnonzero(rank == np.repeat(np.where(least < self.NONE, least, -1), size))
-            at = at[np.concatenate(([True], word[at[1:]] != word[at[:-1]]))]  # the leftmost of each word
-            ids[at] = rank[at]
-            going[at + 1] = False
-            place = (np.cumsum(going) - 1)[at]
-            ids, word, rank = ids[going], word[going], rank[going]
-            touched = np.concatenate([place, place[place > 0] - 1])
-            rank[touched] = self.NONE
-            pairs = touched[touched + 1 < len(word)]
-            pairs = pairs[word[pairs] == word[pairs + 1]]
-            rank[pairs] = self.ranks_of(ids[pairs], ids[pairs + 1])
-        if not done_ids:
-            return [b""] * len(words)
-        ids, word = np.concatenate(done_ids), np.concatenate(done_word)
-        order = np.argsort(word, kind="stable")
-        data = ids[order].astype("<u4").tobytes()
-        ends = np.cumsum(np.bincount(word, minlength=len(words))) * 4
-        return [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)] if words else []
-
-    def one_by_one(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of each word, by replaying the merges over all of them from an inverted index.
-
-        Ranks are ids, so a pair merges to the id that is its rank. Pairs wait in
-        a heap of ranks; the positions of a rank are visited from left to right.
-        A merge that makes a pair of a lower rank puts the rest of its rank off,
-        because in that word the lower rank comes first.
-        """
-        single, merged = self.single, self.merged
-        ids: list[int] = []
-        starts = []
-        after: list[int] = []
-        before: list[int] = []
-        for word in words:
-            starts.append(len(ids))
-            n, at = len(word), len(ids)
-            ids.extend([single[b] for b in word])
-            after.extend(range(at + 1, at + n + 1))
-            before.extend(range(at - 1, at + n - 1))
-            if n:
-                after[-1] = -1
-                before[at] = -1
-        index: dict[int, list[int]] = {}
-        for i, j in enumerate(after):
-            if j >= 0:
-                rank = merged(ids[i], ids[j])
-                if rank >= 0:
-                    if rank in index:
-                        index[rank].append(i)
-                    else:
-                        index[rank] = [i]
-        heap = list(index)
+        order = inside[np.argsort(rank[inside], kind="stable")]
+        ranks, first = np.unique(rank[order], return_index=True)
+        stop = np.append(first[1:], len(order))
+        initial = {r: (a, b) for r, a, b in zip(ranks.tolist(), first.tolist(), stop.tolist(), strict=True) if r < self.NONE}
+        later: dict[int, list[int]] = {}
+        heap = list(initial)
         heapq.heapify(heap)
         while heap:
-            rank = heapq.heappop(heap)
-            places = index.pop(rank, None)
-            if places is None:
+            now = heapq.heappop(heap)
+            at = np.array(later.pop(now, ()), dtype=np.int64)
+            if now in initial:
+                a, b = initial.pop(now)
+                at = np.concatenate([order[a:b], at]) if len(at) else order[a:b]
+            at = at[rank[at] == now]
+            if not len(at):
                 continue
-            places.sort()
-            for k, i in enumerate(places):
-                j = after[i]
-                if j < 0 or ids[i] < 0 or merged(ids[i], ids[j]) != rank:
-                    continue
-                ids[i], ids[j] = rank, -1
-                nxt = after[i] = after[j]
-                lower = False
-                if nxt >= 0:
-                    before[nxt] = i
-                    r = merged(rank, ids[nxt])
-                    if r >= 0:
-                        if r in index:
-                            index[r].append(i)
-                        else:
-                            index[r] = [i]
-                            heapq.heappush(heap, r)
-                        lower = r < rank
-                prev = before[i]
-                if prev >= 0:
-                    r = merged(ids[prev], rank)
-                    if r >= 0:
-                        if r in index:
-                            index[r].append(prev)
-                        else:
-                            index[r] = [prev]
-                            heapq.heappush(heap, r)
-                        lower = lower or r < rank
-                if lower and k + 1 < len(places):
-                    if rank in index:
-                        index[rank].extend(places[k + 1 :])
-                    else:
-                        index[rank] = places[k + 1 :]
-                        heapq.heappush(heap, rank)
-                    break
-        out = []
-        for start, word in zip(starts, words, strict=True):
-            found, i = [], start if word else -1
-            while i >= 0:
-                found.append(ids[i])
-                i = after[i]
-            out.append(found)
-        return out
+            if now in self.overlapping or now in self.delicate:
+                every = at = np.sort(at)
+                chain = np.append(False, at[1:] == after[at[:-1]])
+                place = np.arange(len(at))
+                at = at[(place - np.maximum.accumulate(np.where(chain, 0, place))) % 2 == 0]
+                if now in self.delicate:
+                    prev, beyond = before[at], after[after[at]]
+                    low = (self.ranks_at(ids[prev] << 32 | now) < now) & (prev >= 0) | (self.ranks_at(now << 32 | ids[beyond]) < now) & (beyond >= 0) | (self.pairs.get((now, now), now) < now)
+                    # per word up to the first merge that may make a lower rank
+                    stop = np.full(len(words), n)
+                    np.minimum.at(stop, word[at[low]], at[low])
+                    at, rest = at[at <= stop[word[at]]], every[every > stop[word[every]]]
+                    if len(rest):
+                        later[now] = rest.tolist()
+                        heapq.heappush(heap, now)
+            right = after[at]
+            beyond = after[right]
+            ids[at] = now
+            ids[right] = -1
+            rank[right] = self.NONE
+            after[at] = beyond
+            before[beyond[beyond >= 0]] = at[beyond >= 0]
+            rank[at] = -1
+            prev = before[at]
+            prev = prev[prev >= 0]
+            touched = np.concatenate([at, prev[rank[prev] >= 0]])
+            rank[touched] = self.NONE
+            touched = touched[after[touched] >= 0]
+            found = self.ranks_at(ids[touched] << 32 | ids[after[touched]])
+            touched, found = touched[found < self.NONE], found[found < self.NONE]
+            rank[touched] = found
+            for r, i in zip(found.tolist(), touched.tolist(), strict=True):
+                if r in later:
+                    later[r].append(i)
+                else:
+                    later[r] = [i]
+                    if r not in initial:
+                        heapq.heappush(heap, r)
+        alive = ids >= 0
+        data = ids[alive].astype("<u4").tobytes()
+        cuts = (np.cumsum(np.bincount(word[alive], minlength=len(words))) * 4).tolist()
+        return [data[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
 
     @functools.cached_property
     def _table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -239,22 +190,30 @@ class TextEncoder:
         self.bpe = load_ranks(name)
         self.cache = _caches.setdefault(name, {})
 
+    def learn(self, missing: set[str]) -> None:
+        """Replay the merges over pre-tokens, and units of several, that the cache lacks."""
+        cache = self.cache
+        units = {u: PATTERN.findall(u) for u in missing if OTHER.search(u)}
+        words = sorted({w for w in missing if w not in units}.union(*units.values()))
+        fresh = dict(zip(words, self.bpe.encode_words([w.encode("utf-8") for w in words]), strict=True))
+        cache.update((w, fresh[w]) for w in missing if w not in units)
+        cache.update((u, b"".join([fresh[w] for w in parts])) for u, parts in units.items())
+
+    def cut(self, text: str) -> list[str]:
+        return PATTERN.findall(text) if ODD.search(text) else spaced_parts(text)
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """uint32 ids of each text; none for a null one."""
         cache = self.cache
         if len(cache) > CACHE_ENTRIES:
             cache.clear()
-        split = [[] if not t else PATTERN.findall(t) if ODD.search(t) else UNITS.findall(t) for t in texts]
-        missing = sorted({u for units in split for u in units if u not in cache})
-        parts = [PATTERN.findall(u) for u in missing]
-        words = sorted({w for p in parts for w in p})
-        fresh = dict(zip(words, self.bpe.encode_words([w.encode("utf-8") for w in words]), strict=True))
-        for unit, p in zip(missing, parts, strict=True):
-            cache[unit] = fresh[p[0]] if len(p) == 1 else b"".join([fresh[w] for w in p])
-        out = [np.frombuffer(b"".join(map(cache.__getitem__, units)), "<u4") for units in split]
-        for unit in missing:
-            if len(unit) > CACHE_CHARS:
-                del cache[unit]
+        split = [self.cut(t) if t else [] for t in texts]
+        missing = {w for parts in split for w in parts if w not in cache}
+        self.learn(missing)
+        out = [np.frombuffer(b"".join(map(cache.__getitem__, parts)), "<u4") for parts in split]
+        for word in missing:
+            if len(word) > CACHE_CHARS:
+                del cache[word]
         return out
 
 

@@ -153,9 +153,13 @@ def test_rank_order_puts_lower_ranks_first():
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
     made = bpe.Bpe(ranks)
-    assert made.one_by_one(words) == [plain(w) for w in words]
-    assert [np.frombuffer(x, "<u4").tolist() for x in made.in_waves(words)] == [plain(w) for w in words]
+    assert [np.frombuffer(x, "<u4").tolist() for x in made.encode_words(words)] == [plain(w) for w in words]
     assert made.encode_words([]) == []
+    rng = random.Random(8)
+    tokens = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(2, 5))).encode() for _ in range(60)})
+    ranks = {bytes([b]): 1000 + b for b in range(256)} | dict(zip(tokens, rng.sample(range(1000), len(tokens)), strict=True))
+    words = ["".join(rng.choice("abc") for _ in range(rng.randint(0, 30))).encode() for _ in range(400)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in bpe.Bpe(ranks).encode_words(words)] == [plain(w) for w in words]
 
 
 SECRETS = [
