@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.shipping import ship_package
@@ -48,7 +48,8 @@ def release_memory() -> None:
 def map_text(docs: DataFrame, make: Callable[[], Callable], schema: str) -> DataFrame:
     """Apply ``make()(ids, texts)`` to parts of the rows, where it returns Arrow columns by name.
 
-    ``make`` runs once in each task; texts are Python strings or None.
+    ``make`` runs once in each task; texts are Python strings or None. Columns of the schema that it
+    does not return are those of ``docs``, row by row.
     """
     ship_package(docs.sparkSession)
     target = arrow_schema(docs.sparkSession, schema)
@@ -57,8 +58,12 @@ def map_text(docs: DataFrame, make: Callable[[], Callable], schema: str) -> Data
         step = make()
         for batch in batches:
             for part in slices(batch):
-                columns = step(part.column("doc_id"), part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) if not isinstance(columns[f.name], (pa.Array, pa.ChunkedArray)) else columns[f.name].cast(f.type) for f in target], schema=target)
+                made = step(part.column("doc_id"), part.column("text").to_pylist())
+                arrays = []
+                for f in target:
+                    values = made[f.name] if f.name in made else part.column(f.name)
+                    arrays.append(values.cast(f.type) if isinstance(values, pa.Array) else pa.array(values, type=f.type))
+                yield pa.RecordBatch.from_arrays(arrays, schema=target)
         del step
         release_memory()
 
@@ -75,8 +80,8 @@ def arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder name below the one that the cluster shares.
 
-    ``spark.checkpoint.dir`` names it; only where that is unset, as in local
-    tests, a temporary folder of this machine is set instead.
+    ``spark.checkpoint.dir`` names it; where that is unset a local session, as in
+    tests, takes a temporary folder of its machine, and any other is refused.
     """
     import tempfile
     import uuid
@@ -85,6 +90,8 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     if not base:
         base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = getattr(spark.sparkContext, "_quillspark_shared", None)
         if base is None:
             base = "file://" + tempfile.mkdtemp(prefix="quillspark-shared-")
@@ -92,6 +99,11 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> tuple[Column, Column]:
+    """128 bits of hash that tell rows apart by id and text, also where ids are null or repeat."""
+    return F.xxhash64(id_col, text_col), F.xxhash64(F.lit(1), id_col, text_col)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write the rows to the shared folder and read them back."""
     spark = df.sparkSession
@@ -100,6 +112,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def scan_partitions(spark: SparkSession) -> int:
-    """Tasks for Python work that follows a scan of few large files."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+#: A key of more rows than this, and than this share of all, is a hot one.
+HOT_ROWS, HOT_SHARE = 2048, 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """``rows`` joined with ``groups``, which has one row for each of the not null keys and the number n of its rows.
+
+    Hot keys, of which there can be a thousand at most, are broadcast with what their groups say, so no
+    task gathers the rows of one.
+    """
+    least = max(HOT_ROWS, total // HOT_SHARE)
+    others = [c for c in groups.columns if c not in keys]
+    hot = F.broadcast(groups.filter(F.col("n") > least).select(*keys, F.struct(*others).alias("__qs_g")))
+    tagged = rows.join(hot, keys, "left")
+    found = tagged.filter("__qs_g is not null").select(*rows.columns, *[F.col(f"__qs_g.{c}").alias(c) for c in others])
+    rest = tagged.filter("__qs_g is null").drop("__qs_g").join(groups.filter(F.col("n") <= least), keys)
+    return found.unionByName(rest.select(*found.columns))

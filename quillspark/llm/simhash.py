@@ -13,7 +13,7 @@ fingerprints are sent to each of them as queries.
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import id_text, map_text, slices, written
-from quillspark.llm.components import connected_components, forest
+from quillspark.llm.common import id_text, map_text, row_key, slices, written
+from quillspark.llm.components import connected_components, forest, nearest_forest
 from quillspark.shipping import ship_package
 from quillspark.sources.tables import table
 
@@ -43,6 +43,8 @@ LANE_RADIUS = 15
 SAMPLE, OFTEN, ORDERED = 20_000, 8, 200_000
 #: Bits of the bitmap of texts to be verified.
 BITMAP = 1 << 23
+#: Sets of one prefix shingle that are paired by size; more are paired by component.
+RUN = 512
 
 _LOWER = bytes(ord(chr(b).lower()) if b < 0x80 else b for b in range(256))
 
@@ -207,7 +209,7 @@ def link_similar(prints: DataFrame, most: int) -> DataFrame:
 
 
 def _shard_links(keyed: DataFrame, radius: int, most: int | None) -> DataFrame:
-    """Spanning links of all shards; with ``most`` only pairs whose lanes differ in no more bits."""
+    """Spanning links of all shards; with ``most`` the nearest pairs, whose lanes differ in no more bits, that span what is so linked."""
     spark = ship_package(keyed.sparkSession)
     large = keyed.groupBy("shard").agg(F.count("*").alias("n")).filter(F.col("n") > TREE_NODES).select("shard", F.ceil(F.col("n") / TREE_NODES).cast("int").alias("trees"))
     dealt = keyed.join(large, "shard", "left").withColumn("trees", F.coalesce("trees", F.lit(1)))
@@ -252,22 +254,26 @@ def _shard_links(keyed: DataFrame, radius: int, most: int | None) -> DataFrame:
         root_of[shard[own][trees["row"][roots]]] = roots
         root = root_of[shard]
         ask = np.flatnonzero(ask & (root >= 0))
-        a, b, pending = [], [], 0
+        found, pending = [], 0
         for q, row in search_forest(trees, fp[own], fp[ask], root[ask], radius):
             x, y = rep[ask[q]], rep[own[row]]
             keep = x != y
+            apart = np.zeros(len(x), dtype=np.int64)
             if wide:
-                keep &= sum(np.bitwise_count(f[ask[q]] ^ f[own[row]]).astype(np.int64) for f in wide) <= most
-            a.append(x[keep])
-            b.append(y[keep])
+                apart = sum(np.bitwise_count(f[ask[q]] ^ f[own[row]]).astype(np.int64) for f in wide)
+                keep &= apart <= most
+            found.append((x[keep], y[keep], apart[keep]))
             pending += int(keep.sum())
             if pending > 1 << 21:
-                x, y = forest(np.concatenate(a), np.concatenate(b))
-                a, b, pending = [x], [y], 0
-        if a:
-            x, y = forest(np.concatenate(a), np.concatenate(b))
+                found, pending = [spanning(found)], 0
+        if found:
+            x, y, _ = spanning(found)
             yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
 
+    def spanning(found):
+        x, y, apart = (np.concatenate(c) for c in zip(*found, strict=True))
+        return nearest_forest(x, y, apart) if most is not None else (*forest(x, y), np.empty(0, np.int64))
+
     return placed.mapInArrow(run, "a long, b long")
 
 
@@ -289,11 +295,11 @@ def bits_apart(similarity: float) -> int:
     """Most differing bits of wide fingerprints whose texts may have so large a share of common shingles.
 
     Shingle sets of Jaccard similarity j are at an angle of cosine 2j / (1 + j), and each
-    bit differs with a probability of that angle over pi; three quarters of that count's standard deviation are granted.
+    bit differs with a probability of that angle over pi; one and a half of that count's standard deviations are granted.
     """
     p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     bits = 64 * LANES
-    return int(bits * p + 0.75 * np.sqrt(bits * p * (1 - p)))
+    return int(bits * p + 1.5 * np.sqrt(bits * p * (1 - p)))
 
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
@@ -371,43 +377,103 @@ def prefix_pairs(sets: DataFrame, similarity: float) -> DataFrame:
     def pairs(part: pa.Table):
         h, rep, component, n, at = (np.asarray(part.column(c)) for c in ("h", "rep", "component", "n", "at"))
         counts = np.unique(h, return_counts=True)[1]
-        # rows that follow in the run of a shingle; the larger sets come later
-        left = np.repeat(np.cumsum(counts), counts) - np.arange(len(h)) - 1
-        i = np.flatnonzero(left > 0)
-        found, pending, apart = [], 0, 1
-        while len(i):
-            j = i + apart
-            need = np.ceil(similarity / (1 + similarity) * (n[i].astype(np.int64) + n[j]) - 1e-9)
-            most = np.minimum(n[i] - at[i], n[j] - at[j])
-            fits = n[i] >= similarity * n[j] - 1e-9
-            keep = fits & (most >= need) & (component[i] != component[j]) & (rep[i] != rep[j])
+        found, pending = [], 0
+        for i, j in chain(short_runs(counts, n), long_runs(counts, component)):
+            least, most = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+            need = np.ceil(similarity / (1 + similarity) * (least.astype(np.int64) + most) - 1e-9)
+            keep = (least >= similarity * most - 1e-9) & (np.minimum(n[i] - at[i], n[j] - at[j]) >= need) & (component[i] != component[j])
             if keep.any():
                 x, y = rep[i[keep]], rep[j[keep]]
                 found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
                 pending += int(keep.sum())
             if pending > 1 << 20:
-                found = [np.unique(np.concatenate(found), axis=0)]
-                yield pa.RecordBatch.from_arrays([pa.array(found[0][:, 0]), pa.array(found[0][:, 1])], names=["a", "b"])
+                both = np.unique(np.concatenate(found), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
                 found, pending = [], 0
-            apart += 1
-            # sets only grow along a run, so what no longer fits by size never will
-            i = i[fits & (left[i] >= apart)]
         if found:
             both = np.unique(np.concatenate(found), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
+    def short_runs(counts, n):
+        """Pairs in runs of one shingle, by their distance; the larger sets come later, so what no longer fits by size never will."""
+        left = np.repeat(np.where(counts <= RUN, np.cumsum(counts), 0), counts) - np.arange(int(counts.sum())) - 1
+        i, apart = np.flatnonzero(left > 0), 1
+        while len(i):
+            yield i, i + apart
+            fits = n[i] >= similarity * n[i + apart] - 1e-9
+            apart += 1
+            i = i[fits & (left[i] >= apart)]
+
+    def long_runs(counts, component):
+        """Pairs of different components in the other runs, which are put in order of their components."""
+        for stop, count in zip(np.cumsum(counts).tolist(), counts.tolist(), strict=True):
+            if count > RUN:
+                rows = stop - count + np.argsort(component[stop - count : stop], kind="stable")
+                new = np.flatnonzero(np.diff(component[rows])) + 1
+                for first, end in zip([0, *new.tolist()], new.tolist(), strict=False):
+                    others = rows[end:]
+                    some = max(1, (1 << 20) // len(others))
+                    for k in range(first, end, some):
+                        own = rows[k : min(k + some, end)]
+                        yield np.repeat(own, len(others)), np.tile(others, len(own))
+
     return placed.mapInArrow(run, "a long, b long")
 
 
-def sets_of(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
-    """Shingle sets (rep, shingles) of the texts that pairs name, made again from the texts.
+def parities(sets: list[np.ndarray]) -> list[bytes]:
+    """For each set, whether an odd number of its members has each value of the low bits; at least as many values as members."""
+    out = []
+    for s in sets:
+        width = max(64, 1 << (len(s) - 1).bit_length())
+        odd = np.bincount(s & (width - 1), minlength=width) & 1
+        out.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
+    return out
+
+
+def differing(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """Bits in which parities of equal or different widths differ: no more than members that only one of two sets has."""
+    a, b = np.fromiter(map(len, x), np.int64, len(x)), np.fromiter(map(len, y), np.int64, len(y))
+    out = np.empty(len(x), dtype=np.int64)
+    code = a << 32 | b
+    for c in np.unique(code).tolist():
+        at = np.flatnonzero(code == c)
+        least = min(c >> 32, c & 0xFFFFFFFF)
+        for k in range(0, len(at), max(1, (8 << 20) // max(c >> 32, c & 0xFFFFFFFF))):
+            some = at[k : k + max(1, (8 << 20) // max(c >> 32, c & 0xFFFFFFFF))].tolist()
+            p, q = (np.bitwise_xor.reduce(np.frombuffer(b"".join([z[i] for i in some]), np.uint8).reshape(len(some), -1, least), axis=1) for z in (x, y))
+            out[some] = np.bitwise_count(p ^ q).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def likely(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """Of the pairs (a, b) all that have the similarity and few others, by the sizes and parities of their sets (rep, n, parity).
+
+    Sets of n and m members and a Jaccard similarity j differ in (1 - j) / (1 + j) of n + m members, and parities
+    never in more bits.
+    """
+    ship_package(pairs.sparkSession)
+    one = sketches.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa"))
+    other = sketches.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb"))
+
+    def run(batches):
+        for batch in batches:
+            most = (1 - similarity) / (1 + similarity) * (np.asarray(batch.column("na")).astype(np.int64) + np.asarray(batch.column("nb")))
+            near = differing(batch.column("pa").to_pylist(), batch.column("pb").to_pylist()) <= most + 1e-6
+            yield batch.select(["a", "b"]).filter(pa.array(near))
+
+    return pairs.join(one, "a").join(other, "b").mapInArrow(run, "a long, b long")
+
+
+def sets_of(texts: DataFrame, distinct: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
+    """Shingle sets (rep, shingles) of the texts that pairs name, made again from the texts (r1, r2, text).
 
     A bitmap of fixed size tells most other texts from them before any shuffle; the join leaves no wrong ones.
     """
-    spark = docs.sparkSession
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAP))
+    spark = texts.sparkSession
+    bit = lambda c: F.pmod(F.col(c), F.lit(BITMAP))
     nodes = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
-    parts = nodes.select(bit("rep").alias("bit")).groupBy(F.expr("bit div 32768").alias("part")).agg(F.bitmap_construct_agg(F.expr("bit % 32768")).alias("bits")).collect()
+    named = written(distinct.select("rep", "first.r1", "first.r2").join(nodes, "rep"), "named")
+    parts = named.select(bit("r1").alias("bit")).groupBy(F.expr("bit div 32768").alias("part")).agg(F.bitmap_construct_agg(F.expr("bit % 32768")).alias("bits")).collect()
     bits = np.zeros((BITMAP >> 15, 4096), dtype=np.uint8)
     for x in parts:
         bits[x["part"]] = np.frombuffer(x["bits"], dtype=np.uint8)
@@ -420,12 +486,10 @@ def sets_of(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, size: int) -
             at = np.asarray(batch.column("bit"))
             chosen = batch.filter(pa.array((have[at >> 3] >> (at & 7) & 1).astype(bool)))
             for part in slices(chosen):
-                sets = [shingle_set(t, size) for t in part.column("text").to_pylist()]
-                keys = set_keys(sets)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(keys[:, 0]), pa.array(keys[:, 1]), _lists(sets)], names=["rep", "k1", "k2", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column("r1"), part.column("r2"), _lists([shingle_set(t, size) for t in part.column("text").to_pylist()])], names=["r1", "r2", "shingles"])
 
-    made = docs.filter("doc_id is not null").select("doc_id", "text", bit("doc_id").alias("bit")).mapInArrow(run, "rep long, k1 long, k2 long, shingles array<long>")
-    return written(made.join(distinct.select("rep", "k1", "k2").join(nodes, "rep"), ["rep", "k1", "k2"]).select("rep", "shingles"), "named-sets")
+    made = texts.select("r1", "r2", "text", bit("r1").alias("bit")).mapInArrow(run, "r1 long, r2 long, shingles array<long>")
+    return written(made.join(named, ["r1", "r2"]).select("rep", "shingles"), "named-sets")
 
 
 def set_keys(sets: list[np.ndarray]) -> np.ndarray:
@@ -442,15 +506,17 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(one, "a").join(other, "b").filter(shared / (F.size("x") + F.size("y") - shared) >= F.lit(similarity)).select("a", "b")
 
 
-def similar_components(docs: DataFrame, size: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Groups of texts by the Jaccard similarity of their shingle sets: doc_id, component_id; see :func:`simhash_components`.
+def similar_groups(docs: DataFrame, size: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Rows by the 128-bit key of their shingle set: doc_id, r1, r2, k1, k2; and the distinct sets: k1, k2, first, group.
 
+    Sets of a Jaccard similarity of ``similarity`` link, and linked sets have one group. ``first`` is the first row of a set:
+    that of the smallest doc_id, rows without one last, then by hash.
     Wide fingerprints and BK-trees find most links and so join large groups at little cost; a prefix filter over the
     shingles finds every further pair between different groups. Both only propose: a pair is linked
     when its whole sets have the similarity.
     """
-
-    texts = id_text(docs, id_col, text_col)
+    r1, r2 = row_key()
+    texts = id_text(docs, id_col, text_col).select("doc_id", "text", r1.alias("r1"), r2.alias("r2"))
     order = docs.sparkSession.sparkContext.broadcast(frequent_shingles(texts, size))
 
     def make():
@@ -461,23 +527,51 @@ def similar_components(docs: DataFrame, size: int, similarity: float, id_col: st
             sets = [shingle_set(t, size) for t in texts]
             keys = set_keys(sets)
             first = _lists([prefix(s, similarity, often, place) for s in sets])
-            return {"doc_id": ids, "k1": keys[:, 0].copy(), "k2": keys[:, 1].copy(), "lanes": pa.FixedSizeListArray.from_arrays(pa.array(lanes.ravel()), LANES).cast(pa.list_(pa.int64())), "n": np.array([len(s) for s in sets], dtype=np.int32), "prefix": first}
+            return {"k1": keys[:, 0].copy(), "k2": keys[:, 1].copy(), "lanes": pa.FixedSizeListArray.from_arrays(pa.array(lanes.ravel()), LANES).cast(pa.list_(pa.int64())), "n": np.array([len(s) for s in sets], dtype=np.int32), "prefix": first, "parity": pa.array(parities(sets), pa.binary())}
 
         return step
 
     def links(pairs):
-        pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        pairs = written(likely(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), distinct.select("rep", "n", "parity"), similarity), "pairs")
         return written(verified(pairs, sets_of(texts, distinct, pairs, size), similarity), "links")
 
-    prints = written(map_text(texts, make, "doc_id long, k1 long, k2 long, lanes array<long>, n int, prefix array<long>"), "wide-fingerprints")
-    distinct = written(prints.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("lanes").alias("lanes"), F.first("n").alias("n"), F.first("prefix").alias("prefix")).filter("rep is not null"), "wide-distinct")
+    prints = written(map_text(texts, make, "doc_id long, r1 long, r2 long, k1 long, k2 long, lanes array<long>, n int, prefix array<long>, parity binary"), "wide-fingerprints")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r1", "r2")
+    sets = prints.groupBy("k1", "k2").agg(F.min(row).alias("first"), *[F.first(c).alias(c) for c in ("lanes", "n", "prefix", "parity")])
+    # names that are fixed once they are written
+    distinct = written(sets.withColumn("rep", F.monotonically_increasing_id()), "wide-distinct")
     near = links(link_similar(distinct.select("lanes", "rep"), bits_apart(similarity)))
     joined = connected_components(near, "joined")
-    sets = distinct.join(joined, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("component"), "n", "prefix")
-    rest = links(prefix_pairs(sets, similarity))
+    open_sets = distinct.join(joined, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("component"), "n", "prefix")
+    rest = links(prefix_pairs(open_sets, similarity))
     components = connected_components(near.union(rest), "similar")
-    named = distinct.join(components, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
-    return prints.select("doc_id", "k1", "k2").join(named, ["k1", "k2"], "left").select("doc_id", "component_id")
+    groups = distinct.select("rep", "k1", "k2", "first").join(components, F.col("rep") == F.col("node"), "left").select("k1", "k2", "first", F.coalesce("component", "rep").alias("group"))
+    return prints.select("doc_id", "r1", "r2", "k1", "k2"), groups
+
+
+def similar_components(docs: DataFrame, size: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Groups of texts by the Jaccard similarity of their shingle sets: doc_id, component_id (the smallest doc_id reachable); see :func:`similar_groups`.
+
+    Null texts and texts without words have the empty set and are one group. Repeated rows keep one row each. A row with a
+    null doc_id links like any other and names no component; a group of such rows alone has null. An empty table gives no rows.
+    """
+    rows, groups = similar_groups(docs, size, similarity, id_col, text_col)
+    least = groups.groupBy("group").agg(F.min("first.doc_id").alias("component_id"))
+    return rows.join(groups.join(least, "group").select("k1", "k2", "component_id"), ["k1", "k2"], "left").select("doc_id", "component_id")
+
+
+def first_of_similar(docs: DataFrame, size: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` of each group of similar texts, with all its columns: that of the smallest doc_id.
+
+    Rows without a doc_id come last, rows of one doc_id are told apart by their texts' hashes, and of equal rows
+    one stays. Null texts and texts without words are one group. An empty table gives no rows.
+    """
+    _, groups = similar_groups(docs, size, similarity, id_col, text_col)
+    kept = groups.groupBy("group").agg(F.min("first").alias("f")).select(F.col("f.r1").alias("__qs_1"), F.col("f.r2").alias("__qs_2"))
+    r1, r2 = row_key("__qs_d", "__qs_t")
+    keyed = docs.withColumn("__qs_d", F.col(id_col).cast("long")).withColumn("__qs_t", F.col(text_col).cast("string")).withColumn("__qs_1", r1).withColumn("__qs_2", r2)
+    # equal rows share a key, by which the join has dealt and sorted them
+    return keyed.join(kept, ["__qs_1", "__qs_2"], "left_semi").dropDuplicates(["__qs_1", "__qs_2"]).drop("__qs_1", "__qs_2", "__qs_d", "__qs_t")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

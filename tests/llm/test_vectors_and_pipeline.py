@@ -80,6 +80,12 @@ def test_components(spark):
     assert components.connected_components(df.limit(0)).count() == 0
 
 
+def test_components_with_hubs(spark, monkeypatch):
+    monkeypatch.setattr(components, "HUB_EDGES", 4)
+    monkeypatch.setattr(components, "HUB_SHARE", 20)
+    test_components(spark)
+
+
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_sql(spark, name):
     same(registry.queries()[name](spark, SF), views(SF), registry.oracle_sql()[name])
@@ -106,15 +112,14 @@ def test_pipeline(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in rows.values())
     kept = P.drop_near_duplicates(spark, lined, SF).cache()
     left = {r["doc_id"] for r in kept.collect()}
-    wide = {k: np.array(simhash.wide_fingerprint(r["text"], P.SHINGLE), dtype=np.uint64) for k, r in rows.items()}
-    most = simhash.bits_apart(P.SIMILARITY)
-    group = {k: k for k in wide}
+    sets = {k: set(simhash.shingle_hashes(r["text"], P.SHINGLE).tolist()) for k, r in rows.items()}
+    group = {k: k for k in sets}
     changed = True
     while changed:
         changed = False
-        for a in wide:
-            for b in wide:
-                if group[a] < group[b] and int(np.bitwise_count(wide[a] ^ wide[b]).sum()) <= most:
+        for a in sets:
+            for b in sets:
+                if group[a] < group[b] and len(sets[a] & sets[b]) >= P.SIMILARITY * len(sets[a] | sets[b]):
                     group[b], changed = group[a], True
     assert left == {k for k in group if group[k] == k}
     for k in set(rows) - left:
