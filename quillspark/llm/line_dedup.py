@@ -1,12 +1,13 @@
 """Line deduplication by winnowing over line hashes, in DataFrame operations only.
 
-Each window of ``window`` consecutive lines selects its least line hash as a
-fingerprint (the rightmost of equal ones), so any run of that many lines
-that two places share selects the same line in both. Fingerprints are counted
-first; what only one place selected cannot repeat and goes no further. The
-positions of the others are joined with the first place of each window; every window
-that started earlier elsewhere is a match, and matches that touch extend each
-other both ways to whole runs. The lines of later runs are deleted.
+Each window of ``window`` consecutive lines selects its least line hash (the rightmost of equal ones), so any
+run of that many lines that two places share selects the same line in both. A line of
+``alone`` characters is a window of its own, which reaches lines that repeat between other neighbours. Only the selected
+positions go on as fingerprints, each with the windows that selected it.
+
+Fingerprints are joined with all places of the same line; where there is no other, nothing repeats. The others are
+extended both ways, to each window that selected them, and the first place of every window is found. Windows that
+started earlier elsewhere are matches, matches that touch make whole runs, and the lines of later runs are deleted.
 """
 
 from __future__ import annotations
@@ -14,13 +15,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import written
+from quillspark.llm.common import join_groups, written
 from quillspark.sources.tables import table
 
 #: Lines in a window, that is the shortest run that is deleted.
 WINDOW = 2
-#: Characters, less outer white space, from which the pipeline deletes a line that repeats alone.
+#: Characters, less outer white space, from which a line is a window of its own.
 ALONE = 8
+BLANKS = " \t\r\x0b\x0c"
 
 
 def _fingerprint_at(hashes: Column, start: Column, window: int) -> Column:
@@ -32,47 +34,51 @@ def _fingerprint_at(hashes: Column, start: Column, window: int) -> Column:
     return best
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", least: int = 0) -> DataFrame:
-    """Starts of the line windows that also start earlier: doc_id, t (hash of the text), starts array<int> (from 0).
+def fingerprints(docs: DataFrame, window: int, alone: int | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Selected positions: doc_id, t (hash of the text), at, h1, h2 (of the line), long, windows array of (start, w1, w2).
 
-    Earlier means a smaller (doc_id, start); rows of one doc_id are ordered by a hash of
-    their text, and equal rows count as one row. With ``least`` only windows whose first line has so many
-    characters, less outer white space, count.
+    ``windows`` are those that selected the position, less windows of long lines only, whose every line is a window of its own.
     """
-    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
     split = F.split("text", "\n", -1)
-    lines = keyed.filter(F.col("text").isNotNull() & (F.lit(window < 2) | F.col("text").contains("\n"))).select("doc_id", F.xxhash64("text").alias("t"), F.transform(split, lambda x: F.xxhash64(x)).alias("h1"), F.transform(split, lambda x: F.xxhash64(F.lit(1), x)).alias("h2"), *([F.transform(split, lambda x: F.length(F.btrim(x, F.lit(" \t\r\x0b\x0c"))) >= least).alias("long")] if least else []))
-    places = F.when(F.size("h1") >= window, F.sequence(F.lit(0), F.size("h1") - F.lit(window)))
-    if least:
-        places = F.filter(places, lambda s: F.get(F.col("long"), s))
-    selected = F.transform(
-        places,
-        lambda s: F.struct(
-            _fingerprint_at(F.col("h1"), s, window).alias("at"),
-            s.cast("int").alias("start"),
-            F.xxhash64(*[F.get(F.col("h1"), s + F.lit(k)) for k in range(window)]).alias("w1"),
-            F.xxhash64(*[F.get(F.col("h2"), s + F.lit(k)) for k in range(window)]).alias("w2"),
-        ),
-    )
-    rows = lines.select("doc_id", "t", "h1", F.explode(selected).alias("w")).select("doc_id", "t", "w.start", "w.w1", "w.w2", F.get("h1", F.col("w.at")).alias("fp"))
-    rows = written(rows, "line-windows")
-    # fingerprints that two places selected at least
-    seen = rows.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select("fp")
-    matched = rows.join(seen, "fp")
-    place = F.struct("doc_id", "t", "start")
-    first = matched.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("w1", "w2", "first")
-    later = matched.join(first, ["w1", "w2"]).filter(~place.eqNullSafe(F.col("first")))
-    return later.groupBy("doc_id", "t").agg(F.collect_set("start").alias("starts"))
+    is_long = lambda x: F.lit(False) if alone is None else F.length(F.btrim(x, F.lit(BLANKS))) >= max(alone, 1)
+    lines = keyed.select("doc_id", F.xxhash64("text").alias("t"), F.transform(split, lambda x: F.xxhash64(x)).alias("h1"), F.transform(split, lambda x: F.xxhash64(F.lit(1), x)).alias("h2"), F.transform(split, is_long).alias("long"))
+    every = lambda c, s: [F.get(F.col(c), s + F.lit(k)) for k in range(window)]
+
+    def one(s):
+        short = ~F.least(*every("long", s)) if window > 1 else ~F.get(F.col("long"), s)
+        return F.struct(_fingerprint_at(F.col("h1"), s, window).alias("at"), s.cast("int").alias("start"), F.xxhash64(*every("h1", s)).alias("w1"), F.xxhash64(*every("h2", s)).alias("w2"), short.alias("short"))
+
+    starts = F.when(F.size("h1") >= window, F.sequence(F.lit(0), F.size("h1") - F.lit(window))).otherwise(F.array().cast("array<int>"))
+    wide = lines.select("doc_id", "t", "h1", "h2", "long", F.transform(starts, one).alias("win"))
+
+    def position(p):
+        own = F.filter(F.slice(F.col("win"), F.greatest(p - F.lit(window - 2), F.lit(1)), F.lit(window)), lambda x: (x["at"] == p) & x["short"])
+        return F.struct(p.cast("int").alias("at"), F.get(F.col("h1"), p).alias("h1"), F.get(F.col("h2"), p).alias("h2"), F.get(F.col("long"), p).alias("long"), F.transform(own, lambda x: F.struct(x["start"].alias("start"), x["w1"].alias("w1"), x["w2"].alias("w2"))).alias("windows"))
+
+    every_line = F.transform(F.sequence(F.lit(0), F.size("h1") - F.lit(1)), position)
+    selected = F.filter(every_line, lambda x: x["long"] | (F.size(x["windows"]) > 0))
+    return wide.select("doc_id", "t", F.explode(selected).alias("s")).select("doc_id", "t", "s.*")
 
 
 def repeated_lines(docs: DataFrame, window: int, id_col: str, text_col: str, alone: int | None) -> DataFrame:
-    """Positions of the lines that later windows cover, and of later lines of ``alone`` characters: doc_id, t, lines."""
-    lines = lambda width: F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + F.lit(width - 1))))).alias("lines")
-    found = repeated_windows(docs, window, id_col, text_col).select("doc_id", "t", lines(window))
-    if alone is None:
-        return found
-    single = repeated_windows(docs, 1, id_col, text_col, max(alone, 1)).select("doc_id", "t", lines(1))
-    return found.union(single).groupBy("doc_id", "t").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("lines"))
+    """Positions of the lines that a window covers which also starts earlier: doc_id, t, lines array<int> (from 0).
+
+    Earlier means a smaller (doc_id, start); rows of one doc_id are ordered by a hash of
+    their text, and equal rows count as one row.
+    """
+    rows = written(fingerprints(docs, window, alone, id_col, text_col), "fingerprints")
+    total = rows.count()
+    place = F.struct("doc_id", "t", "at")
+    lines = rows.groupBy("h1", "h2").agg(F.min(F.when(F.col("long"), place)).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    matched = written(join_groups(rows, lines, ["h1", "h2"], total), "matches")
+    single = matched.filter(F.col("long") & ~place.eqNullSafe(F.col("first"))).select("doc_id", "t", F.col("at").alias("start"), F.lit(1).alias("width"))
+    windows = matched.select("doc_id", "t", F.explode("windows").alias("w")).select("doc_id", "t", "w.start", "w.w1", "w.w2")
+    place = F.struct("doc_id", "t", "start")
+    firsts = windows.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    later = join_groups(windows, firsts, ["w1", "w2"], total).filter(~place.eqNullSafe(F.col("first"))).select("doc_id", "t", "start", F.lit(window).alias("width"))
+    covered = F.array_distinct(F.flatten(F.transform(F.collect_list(F.struct("start", "width")), lambda x: F.sequence(x["start"], x["start"] + x["width"] - F.lit(1)))))
+    return single.union(later).groupBy("doc_id", "t").agg(covered.alias("lines"))
 
 
 def dedup_lines(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", alone: int | None = None) -> DataFrame:
@@ -100,7 +106,7 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", t
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines removed from every document and a digest of the rest; see :func:`dedup_lines`."""
-    found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), alone=ALONE)
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
@@ -112,8 +118,11 @@ WITH lines AS (
   SELECT a.doc_id, a.pos, a.line AS x, b.line AS y FROM lines a JOIN lines b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1
 ), ranked AS (
   SELECT doc_id, pos, row_number() OVER (PARTITION BY x, y ORDER BY doc_id, pos) AS r FROM windows
+), single AS (
+  SELECT doc_id, pos, row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) AS r FROM lines
+  WHERE length(trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12))) >= 8
 ), gone AS (
-  SELECT doc_id, pos FROM ranked WHERE r > 1 UNION SELECT doc_id, pos + 1 FROM ranked WHERE r > 1
+  SELECT doc_id, pos FROM ranked WHERE r > 1 UNION SELECT doc_id, pos + 1 FROM ranked WHERE r > 1 UNION SELECT doc_id, pos FROM single WHERE r > 1
 ), kept AS (
   SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_removed,
          coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE g.pos IS NULL), '') AS txt
