@@ -37,8 +37,8 @@ L2 = 2e-4
 FOLDS = 5
 #: Lengths of the word beginnings that are features.
 PREFIXES = (4, 5, 6, 7, 8)
-#: Characters of a token that is decoded; longer ones, such as keys, are no words.
-LONGEST = 48
+#: Characters that are decoded at a time; a longer token is decoded piece by piece, and one over ``KEPT`` is not kept in a cache.
+PIECE, KEPT = 512, 64
 
 #: Leetspeak: what each sign may stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "(": "c", "€": "e"}
@@ -48,8 +48,14 @@ SUBSTITUTION, SKIP, REPEAT, DOUBLE, KEEP_DIGIT = -1.0, -0.5, -0.7, -3.0, -12.0
 _LEET = re.escape("".join(LEET))
 #: A token that looks obfuscated: letters and signs mixed, three equal letters in a row, or letters with one separator between.
 SUSPECT = re.compile(rf"(?=\S*[^\W\d_])\S*[{_LEET}]|[^\W\d_]*?([^\W\d_])\1\1|[^\W\d_](?:[.\-_*][^\W\d_]){{3,}}", re.IGNORECASE)
-#: Letters that stand alone, four or more, with a space between.
-SPACED = re.compile(r"(?<!\S)[^\W\d_](?: [^\W\d_]){3,}(?!\S)")
+#: Letters and leetspeak signs that stand alone, three or more, with blanks between; two at least must be letters.
+SPACED = re.compile(rf"(?<!\S)(?:[^\W\d_]|[{_LEET}])(?:[ \t]+(?:[^\W\d_]|[{_LEET}])){{2,}}(?!\S)")
+TRIPLE = re.compile(r"([^\W\d_])\1{2,}")
+LONG_RUN = re.compile(r"([^\W\d_])\1{3,}", re.IGNORECASE)
+#: Signs around a word that tell nothing.
+AROUND = ".,;:?\"'"
+#: Single letters and signs with separators between: a separator there is likely nothing.
+APART = re.compile(rf"(?:[^\W\d_]|[{_LEET}])(?:(?:[ \t]+|[.\-_*])(?:[^\W\d_]|[{_LEET}]))+\W?")
 TOKEN = re.compile(r"\S+")
 WORD = re.compile(r"[^\W\d_]+")
 _CLASS_OF = np.zeros(256, dtype=np.int32)
@@ -110,7 +116,7 @@ class Restorer:
 
     def options(self, token: str):
         """For each character: what it may stand for, and the cost; '' is nothing."""
-        spaced = bool(re.fullmatch(r"[^\W\d_](?:[ .\-_*][^\W\d_])+\W?", token))
+        spaced = bool(APART.fullmatch(token))
         lows = [c.lower() for c in token]
         runs = [n for n in (len(list(g)) for _, g in groupby(lows)) for _ in range(n)]
         before = ""
@@ -124,10 +130,20 @@ class Restorer:
                 yield [("", SKIP if spaced else 0.0)] if spaced else [(low, 0.0), ("", SKIP)]
 
     def read(self, token: str) -> str:
-        """The likeliest reading of a token."""
+        """The likeliest reading of a token, or of each ``PIECE`` of a longer one; four and more equal letters are read as three."""
         got = self.cache.get(token)
         if got is not None:
             return got
+        whole, token = token, LONG_RUN.sub(r"\1\1\1", token)
+        out = "".join([self.decode(token[k : k + PIECE]) for k in range(0, len(token), PIECE)])
+        if len(whole) <= KEPT:
+            if len(self.cache) > 50_000:
+                self.cache.clear()
+            self.cache[whole] = out
+        return out
+
+    def decode(self, token: str) -> str:
+        """Viterbi over the lattice of :meth:`options`; a state is the last three classes, and none is cut."""
         model = self.model
         states = {(0, 0, 0): (0.0, None)}
         for options in self.options(token):
@@ -144,8 +160,6 @@ class Restorer:
                     old = fresh.get(key)
                     if old is None or value > old[0]:
                         fresh[key] = (value, back_to)
-            if len(fresh) > 64:
-                fresh = dict(sorted(fresh.items(), key=lambda s: (-s[1][0], s[0]))[:64])
             states = fresh
         ends = [(score + float(model[k][0]), k, back) for k, (score, back) in states.items()]
         back = max(ends, key=lambda e: (e[0], e[1]))[2]
@@ -153,53 +167,63 @@ class Restorer:
         while back is not None:
             chars.append(back[0])
             back = back[1]
-        out = "".join(reversed(chars))
-        if len(self.cache) > 50_000:
-            self.cache.clear()
-        self.cache[token] = out
-        return out
+        return "".join(reversed(chars))
 
     def restore_token(self, token: str) -> str:
         """A token in its likeliest reading, or as it is."""
-        return self.read(token) if len(token) <= LONGEST and SUSPECT.search(token) else token
+        return self.read(token) if SUSPECT.search(token) else token
+
+    def spaced(self, text: str) -> list[re.Match]:
+        """Runs of single letters and signs that may be a spaced word."""
+        return [m for m in SPACED.finditer(text) if sum(map(str.isalpha, m[0])) > 1]
 
     def restore(self, text: str) -> str:
         """The text with what looks obfuscated in its likeliest reading."""
-        return TOKEN.sub(lambda m: self.restore_token(m[0]), SPACED.sub(lambda m: self.read(m[0]), text))
+        parts, at = [], 0
+        for m in self.spaced(text):
+            parts += [text[at : m.start()], self.read(m[0])]
+            at = m.end()
+        return TOKEN.sub(lambda m: self.restore_token(m[0]), "".join([*parts, text[at:]]))
 
 
 class Words:
-    """Words of texts and of what they are restored to, through a bounded cache of tokens.
+    """Lower-case words of texts and of what their suspect tokens are restored to, through a bounded cache of those."""
 
-    ``value`` maps a lower-case word to what is gathered.
-    """
-
-    def __init__(self, restorer: Restorer, value):
-        self.restorer, self.value = restorer, value
+    def __init__(self, restorer: Restorer):
+        self.restorer = restorer
         self.cache: dict[str, tuple] = {}
 
-    def of_token(self, token: str) -> tuple:
-        words = dict.fromkeys(WORD.findall(token.lower()))
-        restored = self.restorer.restore_token(token)
-        if restored != token:
-            words |= dict.fromkeys(WORD.findall(restored.lower()))
-        return tuple(dict.fromkeys(x for w in words for x in self.value(w)))
+    def restored(self, token: str) -> tuple:
+        got = self.cache.get(token)
+        if got is None:
+            reading = self.restorer.restore_token(token)
+            got = tuple(WORD.findall(reading.lower())) if reading != token else ()
+            if len(token) <= KEPT:
+                if len(self.cache) > 200_000:
+                    self.cache.clear()
+                self.cache[token] = got
+        return got
 
     def of(self, text: str | None) -> set:
-        cache, found = self.cache, set()
-        for token in set((text or "").split()):
-            got = cache.get(token)
-            if got is None:
-                got = self.of_token(token)
-                if len(token) <= LONGEST:
-                    if len(cache) > 200_000:
-                        cache.clear()
-                    cache[token] = got
-            if got:
-                found.update(got)
-        for m in SPACED.finditer(text or ""):
-            for w in WORD.findall(self.restorer.read(m[0])):
-                found.update(self.value(w))
+        if not text:
+            return set()
+        low = text.lower()
+        found = set(WORD.findall(low))
+        # a plain word is suspect only for three equal letters in a row
+        suspects = {t for t in set(text.split()) if not (t.isalpha() or t.strip(AROUND).isalpha())}
+        stop = 0
+        for m in TRIPLE.finditer(low):
+            if m.start() >= stop:
+                start, stop = m.start(), m.end()
+                while start and not low[start - 1].isspace():
+                    start -= 1
+                while stop < len(low) and not low[stop].isspace():
+                    stop += 1
+                suspects.add(low[start:stop])
+        for token in suspects:
+            found.update(self.restored(token))
+        for m in self.restorer.spaced(text):
+            found.update(WORD.findall(self.restorer.read(m[0])))
         return found
 
 
@@ -235,10 +259,11 @@ def train(docs: DataFrame, labels: DataFrame, restorer_model) -> tuple[dict[str,
     spark = docs.sparkSession
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null").filter(~held_out())
     picked = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
-    sample = docs.join(F.broadcast(picked), "doc_id").select(F.col("toxic").cast("long").alias("doc_id"), "text")  # the label travels in place of the id
+    # one text of each doc_id, however often it is repeated; the label travels in place of the id
+    sample = docs.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic"), F.min("text").alias("text")).select(F.col("toxic").alias("doc_id"), "text")
 
     def make():
-        words = Words(Restorer(restorer_model.value), lambda w: (w,))
+        words = Words(Restorer(restorer_model.value))
         return lambda ids, texts: {"toxic": ids.cast(pa.int32()), "words": [sorted(words.of(t)) for t in texts]}
 
     words = written(map_text(sample, make, "toxic int, words array<string>"), "toxic-words")
@@ -267,37 +292,56 @@ def train(docs: DataFrame, labels: DataFrame, restorer_model) -> tuple[dict[str,
     return {f: float(w) for f, w in zip(chosen, weights, strict=True) if abs(w) > 1e-6}, bias
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Toxicity of every text: doc_id, held_out, score, predicted.
-
-    Labels train only on documents whose crc32 is not held out, and only texts are
-    inputs of a score. Null and empty texts get the score of a text without
-    features. Rows are independent: repeated rows get equal scores and null ids are
-    not held out. Without usable labels of both kinds every score is that of the bias. An empty table
-    gives no rows; other columns are ignored.
-    """
-    source = id_text(docs, id_col, text_col)
+def _scorer(docs: DataFrame, labels: DataFrame):
+    """Trains on ``docs`` (doc_id, text) and gives what scores parts of rows in a task."""
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(language_model(count_language(source)))
-    shared = spark.sparkContext.broadcast(train(source, labels, model))
+    model = spark.sparkContext.broadcast(language_model(count_language(docs)))
+    shared = spark.sparkContext.broadcast(train(docs, labels, model))
 
     def make():
         weights, bias = shared.value
-        features = Words(Restorer(model.value), lambda w: [x for x in features_of(w) if x in weights])
+        words = Words(Restorer(model.value))
+        starts = {f.rstrip("$")[:4] for f in weights}
 
         def step(ids, texts):
             scores = []
             for text in texts:
-                z = bias + sum(weights[x] for x in sorted(features.of(text)))
+                features = {x for w in words.of(text) if w[:4] in starts for x in features_of(w) if x in weights}
+                z = bias + sum(weights[x] for x in sorted(features))
                 scores.append(1 / (1 + exp(-max(-30.0, min(30.0, z)))))
-            return {"doc_id": ids, "score": scores}
+            return {"score": scores}
 
         return step
 
-    scored = map_text(source, make, "doc_id long, score double")
+    return make
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Toxicity of every text: doc_id, held_out, score, predicted.
+
+    Labels train only on documents whose crc32 is not held out, and only texts are
+    inputs of a score. Null and empty texts get the score of a text without
+    features. Rows are independent: repeated rows get equal scores and null ids are
+    not held out. Of a repeated doc_id one text trains. Without usable labels of both kinds every score is that of the bias. An empty table
+    gives no rows; other columns are ignored.
+    """
+    source = id_text(docs, id_col, text_col)
+    scored = map_text(source, _scorer(source, labels), "doc_id long, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, with all their columns; see :func:`score_toxicity`.
+
+    Each row is judged by its own text in place, so ids may be null or repeat, and nothing is joined.
+    """
+    source = id_text(docs, id_col, text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("rest"))
+    rest = rows.schema["rest"].dataType.simpleString()
+    scored = map_text(rows, _scorer(source, labels), f"text string, rest {rest}, score double")
+    return scored.filter("score < 0.5").select(*[F.col("text").alias(c) if c == text_col else F.col("rest")[c].alias(c) for c in docs.columns])
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document; see :func:`score_toxicity`."""
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

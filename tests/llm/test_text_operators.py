@@ -375,6 +375,59 @@ def test_restored_text():
         assert r.restore(f"so {seen} it is") == f"so {meant} it is"
 
 
+def test_viterbi_is_exhaustive():
+    """The reading of short tokens has the best score of all readings of the lattice."""
+    from itertools import product
+
+    model = toxicity.language_model(toxicity.gram_counts(["the idiot is a worthless loser and the stupid clown is pathetic trash " * 50, LINE * 20]))
+    r = toxicity.Restorer(model)
+    rng = random.Random(5)
+    tokens = ["1d1ot", "1.d.1", "a  b 1", "stuuu", "$$a", "l0$3r", "x_y-z", "é1!é"] + ["".join(rng.choice("o1t3l$.a") for _ in range(rng.randint(1, 6))) for _ in range(60)]
+    for token in tokens:
+        best = {}
+        for path in product(*r.options(token)):
+            text, state, score = "", (0, 0, 0), 0.0
+            for char, cost in path:
+                score += cost
+                if char:
+                    c = toxicity.class_of(char)
+                    text, score, state = text + char, score + float(model[state][c]), (*state[1:], c)
+            score += float(model[state][0])
+            best[text] = max(best.get(text, -1e9), score)
+        assert best[r.decode(token)] > max(best.values()) - 1e-6, token
+
+
+def test_restored_long_and_spaced():
+    counts = toxicity.gram_counts(["the idiot is a worthless loser and the stupid clown is pathetic trash " * 50, LINE * 20])
+    words = toxicity.Words(toxicity.Restorer(toxicity.language_model(counts)))
+    assert "idiot" in words.of("so " + ".".join(["1d1ot"] * 12) + " end") and "stupid" in words.of("st" + "u" * 3000 + "pid")
+    assert "idiot" in words.of("you 1 d 1  o t there") and "idiot" in words.of("password=x, 1d1ot!") and words.of("x" * 50_000)
+    assert words.of("plain words, here.") == {"plain", "words", "here"} and words.of(None) == words.of("") == set()
+
+
+def test_rows_without_toxic(spark):
+    """Rows are judged one by one: null and repeated ids, other columns of any type and of clashing names."""
+    rng = random.Random(3)
+    words = LINE.split()
+    rows = [(k, " ".join(rng.choice(words) for _ in range(20)) + (" you idiot" if k % 4 == 0 else ""), "x", [k]) for k in range(400)]
+    labels = spark.createDataFrame([(k, int("idiot" in t)) for k, t, _, _ in rows], "doc_id long, toxic int")
+    odd = [(None, "an idiot", "n", None), (None, "fine words", "n", [1]), (3, "fine words", "r", []), (3, "an idiot", "r", None), (7, None, None, None)]
+    df = spark.createDataFrame(rows + odd, "doc_id long, text string, score string, rest array<int>")
+    got = toxicity.without_toxic(df, labels)
+    assert got.columns == df.columns and got.dtypes == df.dtypes
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([r for r in rows + odd if "idiot" not in (r[1] or "")], key=repr)
+    # scores by hand from the operator's own parts
+    make = toxicity._scorer(common.id_text(df), labels)
+    cells = dict(zip(make.__code__.co_freevars, (c.cell_contents for c in make.__closure__), strict=True))
+    weights, bias = cells["shared"].value
+    reader = toxicity.Words(toxicity.Restorer(cells["model"].value))
+    scored = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(df.filter("doc_id > 10"), labels).collect()}
+    assert len(scored) == 389 and weights and bias < 0
+    for text in ("an 1d1ot", "the fox", "", None):
+        z = bias + sum(weights.get(f, 0.0) for f in {f for w in reader.of(text) for f in toxicity.features_of(w)})
+        assert abs(make()(None, [text])["score"][0] - 1 / (1 + np.exp(-z))) < 1e-9
+
+
 def test_toxicity(spark, docs):
     rng = random.Random(3)
     words = LINE.split()
@@ -418,8 +471,8 @@ def test_similar_components(spark, docs):
     assert simhash.similar_components(empty(docs), 5, 0.8).count() == 0
 
 
-@pytest.mark.parametrize("sampled", [1, 20_000])
-def test_similar_components_are_exact(spark, monkeypatch, sampled):
+@pytest.mark.parametrize(("sampled", "run"), [(1, 512), (20_000, 512), (20_000, 1)])
+def test_similar_components_are_exact(spark, monkeypatch, sampled, run):
     """Similarities from 0.6 to 0.95, with repeated words and a passage that many texts have, against all pairs."""
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
@@ -445,10 +498,32 @@ def test_similar_components_are_exact(spark, monkeypatch, sampled):
             break
         label = new
     monkeypatch.setattr(simhash, "SAMPLE", sampled)
+    monkeypatch.setattr(simhash, "RUN", run)
     got = dict(tuple(r) for r in simhash.similar_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 5, 0.8).collect())
     assert [got[k] for k in range(len(rows))] == label.tolist()
 
 
+def test_first_of_similar_rows(spark):
+    """One row of each group, by row and not by doc_id; nulls last, other columns kept."""
+    rng = random.Random(3)
+    one, two = (" ".join("".join(rng.choice("abcd") for _ in range(6)) for _ in range(60)) for _ in range(2))
+    rows = [(0, one, "a"), (5, two, "b"), (5, one, "c"), (None, two, "d"), (None, "alone in its words here", "e"), (7, None, "f"), (8, " ", "g"), (9, "same row", "h"), (9, "same row", "h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, group string").withColumn("rep", F.lit(1))
+    got = simhash.first_of_similar(df, 5, 0.8)
+    assert got.columns == ["doc_id", "text", "group", "rep"]
+    assert sorted(r["group"] for r in got.collect()) == ["a", "b", "e", "f", "h"]
+    assert simhash.first_of_similar(df.limit(0), 5, 0.8).count() == 0
+
+
+def test_parities_never_differ_in_more():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        x = np.unique(rng.integers(0, 1 << 62, rng.integers(0, 400)))
+        y = np.unique(np.concatenate([rng.permutation(x)[: int(len(x) * rng.random())], rng.integers(0, 1 << 62, rng.integers(0, 200))]))
+        p, q = simhash.parities([x, y])
+        assert simhash.differing([p, q], [q, q]).tolist()[0] <= len(np.setxor1d(x, y)) and simhash.differing([q], [q]).tolist() == [0]
+
+
 def test_prefix_pairs_hold_every_similar_pair(spark):
     """Without fingerprints the prefix filter alone proposes all pairs at the threshold."""
     rng = random.Random(4)
