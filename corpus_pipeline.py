@@ -12,8 +12,8 @@ from quillspark.llm.bpe import round_trip
 from quillspark.llm.common import shared_folder
 from quillspark.llm.decontaminate import find_contamination
 from quillspark.llm.line_dedup import ALONE, dedup_lines
-from quillspark.llm.simhash import similar_components
-from quillspark.llm.toxicity import score_toxicity
+from quillspark.llm.simhash import first_of_similar
+from quillspark.llm.toxicity import without_toxic
 from quillspark.sources.tables import table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -27,9 +27,8 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model does not predict toxic."""
-    scored = score_toxicity(docs, table(spark, sf_dir, "labels")).filter("predicted = 1").select("doc_id").distinct()
-    return docs.join(scored, "doc_id", "left_anti").select(*COLUMNS)
+    """Rows that the toxicity model does not predict toxic; see :func:`without_toxic` for nulls and repeated rows."""
+    return without_toxic(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
 
 
 def dedup_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,10 +37,8 @@ def dedup_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar texts the document of the smallest id; texts without words are one group."""
-    found = similar_components(docs, SHINGLE, SIMILARITY)
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each group of similar texts the row of the smallest id; see :func:`first_of_similar` for nulls and repeated rows."""
+    return first_of_similar(docs.select(*COLUMNS), SHINGLE, SIMILARITY)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
