@@ -32,8 +32,8 @@ def brute(rows):
     return sorted(zip(ids.tolist(), links.sum(axis=1).tolist(), label.tolist(), (label == ids).tolist(), strict=True))
 
 
-@pytest.mark.parametrize(("block", "pivots"), [(1024, 32), (8, 4), (5, 32)])
-def test_embedding_links(spark, monkeypatch, block, pivots):
+@pytest.mark.parametrize(("block", "whole", "cell"), [(2048, 8192, 1024), (8, 8192, 1024), (1024, 10, 16), (5, 10, 8)])
+def test_embedding_links(spark, monkeypatch, block, whole, cell):
     rng = np.random.default_rng(block)
     centre = rng.standard_normal((6, 16))
     rows = []
@@ -42,25 +42,54 @@ def test_embedding_links(spark, monkeypatch, block, pivots):
         rows.append((k, v.tolist(), [None, 1, 2][k % 3 if k > 100 else 1 + k % 2]))
     rows += [(200, None, 1), (201, [0.0] * 16, 1), (202, [float("nan")] * 16, 1), (203, [None] * 16, 1), (204, [1.0, 0.0], 1), (205, [2.0, 0.0], 1), (206, rows[0][1], rows[0][2]), (207, [], 1), (208, [float("inf")] * 16, 1)]
     monkeypatch.setattr(embed_dedup, "BLOCK", block)
-    monkeypatch.setattr(embed_dedup, "PIVOTS", pivots)
+    monkeypatch.setattr(embed_dedup, "WHOLE", whole)
+    monkeypatch.setattr(embed_dedup, "CELL", cell)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(4)
     got = sorted(tuple(r) for r in embed_dedup.embedding_links(df).collect())
     assert got == brute(rows)
     assert embed_dedup.embedding_links(df.limit(0)).count() == 0
 
 
-def test_estimates_are_bounds():
-    rng = np.random.default_rng(0)
-    x = rng.standard_normal((200, 64))
+@pytest.mark.parametrize("dim", [8, 64, 200])
+def test_estimates_and_bounds(dim):
+    """The estimate is unbiased over rotations, and pairs at the threshold stay within every bound."""
+    rng = np.random.default_rng(dim)
+    t = embed_dedup.THRESHOLD
+    x, e = rng.standard_normal((400, dim)), rng.standard_normal((400, dim))
     x /= np.linalg.norm(x, axis=1)[:, None]
-    y = x[rng.integers(0, 200, 300)] + rng.standard_normal((300, 64)) * 0.2
-    y /= np.linalg.norm(y, axis=1)[:, None]
-    rotated, bits, factor = embed_dedup.codes(x)
-    value, width, bound = embed_dedup.estimate(bits, factor, y @ embed_dedup.rotation(64))
-    true = x @ y.T
-    assert (true <= bound + 1e-9).all()
-    assert abs((value - true).mean()) < 0.01 and (np.abs(value - true) <= 1.6 * width).mean() > 0.95
-    assert np.allclose(rotated @ rotated.T, x @ x.T)
+    e -= np.einsum("ij,ij->i", e, x)[:, None] * x
+    e /= np.linalg.norm(e, axis=1)[:, None]
+    for cosine in (t, 0.99, 0.5):
+        y = cosine * x + np.sqrt(1 - cosine**2) * e
+        found = []
+        for seed in range(8):
+            rotated, bits, factor = embed_dedup.codes(x, seed)
+            other, bits_y, _ = embed_dedup.codes(y, seed)
+            value, width = embed_dedup.estimate(bits, factor, other, t)
+            found.append(value)
+            if cosine >= t:
+                assert (value + width >= t).all()
+                unlike = np.bitwise_count(bits ^ bits_y).sum(axis=1)
+                assert (unlike <= np.minimum(embed_dedup.most_unlike(rotated, t), embed_dedup.most_unlike(other, t))).all()
+        assert abs(np.mean(found) - cosine) < 0.01
+
+
+def test_extreme_norms(spark):
+    """Squares that would overflow or vanish change nothing."""
+    v = np.random.default_rng(1).standard_normal(16)
+    rows = [(k, (v * s + d * s).tolist(), 1) for k, (s, d) in enumerate([(1, 0), (1e200, 0), (1e200, 1e-7), (1e-200, 0), (1e-200, 1e-7), (-1e200, 0)])]
+    got = sorted(tuple(r) for r in embed_dedup.embedding_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == [(0, 4, 0, True), (1, 4, 0, False), (2, 4, 0, False), (3, 4, 0, False), (4, 4, 0, False), (5, 0, 5, True)]
+
+
+def test_tables_lose_no_pair():
+    """Pairs at the threshold meet in some table, whatever the label's size."""
+    rng = np.random.default_rng(3)
+    x, e = rng.standard_normal((20_000, 64)), rng.standard_normal((20_000, 64))
+    y = 0.98 * x / np.linalg.norm(x, axis=1)[:, None] + np.sqrt(1 - 0.98**2) * (e - (np.einsum("ij,ij->i", e, x) / np.einsum("ij,ij->i", x, x))[:, None] * x) / np.linalg.norm(e, axis=1)[:, None]
+    for n in (10_000, 1_000_000, 10**9):
+        k, tables = embed_dedup.tables_for(n, 0.98)
+        assert k and (embed_dedup.table_keys(x, k, tables) == embed_dedup.table_keys(y, k, tables)).any(axis=1).all()
 
 
 def test_components(spark):
