@@ -1,4 +1,8 @@
-"""Benchmark decontamination by a broadcast hash set of normalised test n-grams."""
+"""Benchmark decontamination by a broadcast hash set of normalised test n-grams.
+
+The set is built once: words are numbered, and each window is a row of numbers under a 64-bit hash, in arrays sorted by hash.
+Windows of a training text are hashed where all their words are known, looked up in one search, and verified number by number.
+"""
 
 from __future__ import annotations
 
@@ -11,14 +15,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import id_text, map_text
+from quillspark.llm.common import id_text, map_text, slices
 from quillspark.shipping import ship_package
 from quillspark.sources.tables import table
 
 #: Words in a window.
 WINDOW = 8
-#: Bytes of benchmark text up to which its windows are broadcast; beyond it they are joined by a shuffle.
-BROADCAST_BYTES = 32 << 20
+#: Bytes of benchmark text up to which its windows are broadcast, at 48 bytes a window 100 MB at most; beyond it they are joined by a shuffle.
+BROADCAST_BYTES = 4 << 20
 
 #: A-Z become a-z; ASCII characters that are neither letters nor digits become spaces.
 _TABLE = bytes(b if b >= 0x80 else ord(chr(b).lower()) if chr(b).isalnum() else 0x20 for b in range(256))
@@ -29,48 +33,63 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
-def windows_of(words: list[bytes], window: int = WINDOW) -> list[tuple[bytes, ...]]:
-    """The windows of an item; an item of fewer words, but not none, is one window."""
-    if not words:
-        return []
-    if len(words) < window:
-        return [tuple(words)]
-    return [tuple(words[i : i + window]) for i in range(len(words) - window + 1)]
+def _hashes(rows: np.ndarray) -> np.ndarray:
+    """64 bits of each row of word numbers."""
+    h = np.zeros(len(rows), dtype=np.uint64)
+    for k in range(rows.shape[1]):
+        h = (h ^ (rows[:, k].astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(29)
+    return h
 
 
 class NgramIndex:
     """Hash set of the test n-grams, with the item ids of each, and their vocabulary."""
 
     def __init__(self, items, window: int = WINDOW):
-        self.grams: dict[tuple[bytes, ...], list] = {}
+        self.known: dict[bytes, int] = {}
+        self.items: list[str] = []
+        rows: dict[int, list] = {}
         for item_id, text in items:
-            for gram in set(windows_of(words_of(text), window)):
-                self.grams.setdefault(gram, []).append(item_id)
-        self.known = {w: 1 for gram in self.grams for w in gram}
-        self.lengths = sorted({len(g) for g in self.grams})
+            words = words_of(text)
+            if words:
+                ids = np.array([self.known.setdefault(w, len(self.known)) for w in words], dtype=np.int32)
+                found = np.lib.stride_tricks.sliding_window_view(ids, min(window, len(ids)))
+                rows.setdefault(found.shape[1], []).append(np.column_stack([found, np.full(len(found), len(self.items), dtype=np.int32)]))
+                self.items.append(item_id)
+        self.by_length = {}
+        for m, parts in sorted(rows.items()):
+            every = np.unique(np.concatenate(parts), axis=0)
+            hashes = _hashes(every[:, :m])
+            order = np.argsort(hashes, kind="stable")
+            self.by_length[m] = hashes[order], every[order]
 
     def hits(self, words: list[bytes]) -> tuple[np.ndarray, set]:
-        """Marks of the words inside an occurrence of a window, and the items that occur.
-
-        Windows are looked up only where all their words belong to the test
-        vocabulary; each lookup compares the words themselves.
-        """
+        """Marks of the words inside an occurrence of a window, and the items that occur."""
         n = len(words)
         marks, found = np.zeros(n + 1, dtype=np.int32), set()
-        if not n or not self.grams:
+        if not n or not self.by_length:
             return marks[:n] > 0, found
-        known = np.fromiter(map(self.known.get, words, repeat(0, n)), dtype=np.int8, count=n)
-        total = np.concatenate(([0], np.cumsum(known, dtype=np.int64)))
-        for m in self.lengths:
-            if m > n:
-                break
-            for i in np.flatnonzero(total[m:] - total[:-m] == m).tolist():
-                items = self.grams.get(tuple(words[i : i + m]))
-                if items is not None:
-                    found.update(items)
-                    marks[i] += 1
-                    marks[i + m] -= 1
-        return np.cumsum(marks[:n]) > 0, found
+        ids = np.fromiter(map(self.known.get, words, repeat(-1, n)), dtype=np.int32, count=n)
+        total = np.concatenate(([0], np.cumsum(ids >= 0, dtype=np.int64)))
+        for m, (hashes, rows) in self.by_length.items():
+            at = np.flatnonzero(total[m:] - total[:-m] == m) if m <= n else total[:0]
+            if not len(at):
+                continue
+            asked = np.lib.stride_tricks.sliding_window_view(ids, m)[at]
+            h = _hashes(asked)
+            low = np.searchsorted(hashes, h, side="left")
+            count = np.searchsorted(hashes, h, side="right") - low
+            some = np.flatnonzero(count)
+            for k in range(0, len(some), 1 << 12):
+                part = some[k : k + (1 << 12)]
+                which = np.repeat(part, count[part])
+                row = np.arange(len(which)) - np.repeat(np.cumsum(count[part]) - count[part], count[part]) + low[which]
+                same = (rows[row, :m] == asked[which]).all(axis=1)
+                found.update(np.unique(rows[row[same], m]).tolist())
+                start = at[np.unique(which[same])]
+                marks[start] += 1
+                marks[start + m] -= 1
+        return np.cumsum(marks[:n]) > 0, {self.items[i] for i in found}
 
 
 def _word_spans(text: str) -> list[tuple[int, int]]:
@@ -131,10 +150,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     if not _small_benchmark(items):
         return _joined(source, items, window, with_text)
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in items.collect()])
+    ship_package(spark)
+    shared = spark.sparkContext.broadcast(NgramIndex([(r["item_id"], r["text"]) for r in items.collect()], window))
 
     def make():
-        index = NgramIndex(shared.value, window)
+        index = shared.value  # one for each worker, however many tasks it runs
 
         def step(ids, texts):
             keys, words, hit, found, clean = [], [], [], [], []
@@ -161,7 +181,7 @@ def _joined(source: DataFrame, items: DataFrame, window: int, with_text: bool) -
     ship_package(source.sparkSession)
 
     def grams(batches, sizes):
-        for batch in batches:
+        for batch in (p for b in batches for p in slices(b)):
             rows, at, lengths, digests = [], [], [], []
             for row, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
                 w = words_of(text)
@@ -185,7 +205,7 @@ def _joined(source: DataFrame, items: DataFrame, window: int, with_text: bool) -
     joined = k.join(h, F.col("k.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("k.text_key") == F.col("h.text_key")), "left").select("k.doc_id", "k.text_key", "k.text", "h.item_ids", "h.spans")
 
     def finish(batches):
-        for batch in batches:
+        for batch in (p for b in batches for p in slices(b)):
             words, hit, found, clean = [], [], [], []
             for text, ids, spans in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)), strict=True):
                 marks = np.zeros(len(words_of(text)), dtype=bool)
