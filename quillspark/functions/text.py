@@ -98,11 +98,14 @@ def cost(tokens_in: Column, tokens_out: Column, price_in: Column, price_out: Col
 def hashed_vector(token_list: Column, dim: int = 64) -> Column:
     """Unit vector of token counts by the last byte of each token's md5; no tokens give the first axis.
 
-    ``dim`` must be a power of two of at most 256.
+    ``dim`` must be a power of two of at most 128.
     """
-    buckets = F.transform(token_list, lambda t: F.pmod(F.conv(F.right(F.md5(t.cast("binary")), F.lit(2)), 16, 10).cast("int"), F.lit(dim)))
-    # the outer arrays bind the buckets and the counts, so that each is computed once
-    counts = F.transform(F.array(buckets), lambda found: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda b: F.size(F.filter(found, lambda x: x == b)).cast("double")))
-    bound = F.transform(counts, lambda c: F.transform(c, lambda x: x / F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, y: s + y * y))))
-    first = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda b: F.when(b == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
-    return F.when(F.size(token_list) == 0, first).otherwise(F.get(bound, F.lit(0)))
+    sign = lambda bucket: F.char(bucket + F.lit(48))
+    bucket = lambda t: F.pmod(F.conv(F.right(F.md5(t.cast("binary")), F.lit(2)), 16, 10).cast("int"), F.lit(dim))
+    # one sign a token, so a count is what a native replacement takes away; arrays of one bind the signs and the counts
+    signs = F.array(F.array_join(F.transform(token_list, lambda t: sign(bucket(t))), ""))
+    axes = F.sequence(F.lit(0), F.lit(dim - 1))
+    counts = F.transform(signs, lambda s: F.transform(axes, lambda b: (F.length(s) - F.length(F.replace(s, sign(b), F.lit("")))).cast("double")))
+    measured = F.transform(counts, lambda c: F.struct(c.alias("c"), F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, y: a + y * y)).alias("n")))
+    unit = F.transform(measured, lambda s: F.transform(s["c"], lambda x: x / s["n"]))
+    return F.when(F.size(token_list) == 0, F.transform(axes, lambda b: (b == 0).cast("double"))).otherwise(F.get(unit, F.lit(0)))

@@ -16,6 +16,8 @@ from quillspark.shipping import ship_package
 
 #: Values (doubles) of a broadcast block of queries.
 BLOCK_VALUES = 8_000_000
+#: Scores that a task holds at a time.
+SCORES = 4_000_000
 #: Decimals of a score before it ranks.
 DECIMALS = 6
 
@@ -68,10 +70,22 @@ def _searcher(shared, k: int):
             if not n:
                 continue
             chunk = np.asarray(batch.column(0))
-            found = np.round(np.asarray(batch.column(1).flatten()).reshape(n, -1) @ matrix.T, DECIMALS)
-            order = np.lexsort((np.broadcast_to(chunk[:, None], found.shape), -found), axis=0)[:k]
-            q = np.broadcast_to(np.arange(len(ids)), order.shape)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q.ravel()]), pa.array(chunk[order.ravel()]), pa.array(found[order, q].ravel())], names=["query_id", "chunk_id", "score"])
+            order = np.argsort(chunk, kind="stable")
+            chunk, vectors = chunk[order], np.asarray(batch.column(1).flatten()).reshape(n, -1)[order]
+            step = max(1, SCORES // n)
+            for at in range(0, len(ids), step):
+                found = np.round(matrix[at : at + step] @ vectors.T, DECIMALS)
+                if n > k:  # what is below the k-th score cannot be among the best
+                    least = np.partition(found, n - k, axis=1)[:, n - k]
+                    q, place = np.nonzero(found >= least[:, None])
+                else:
+                    q, place = np.divmod(np.arange(found.size), n)
+                score = found[q, place]
+                by_score = np.lexsort((place, -score, q))  # places are in order of chunk ids
+                q, place, score = q[by_score], place[by_score], score[by_score]
+                rank = np.arange(len(q)) - np.searchsorted(q, q)
+                best = rank < k
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at + q[best]]), pa.array(chunk[place[best]]), pa.array(score[best])], names=["query_id", "chunk_id", "score"])
 
     return run
 

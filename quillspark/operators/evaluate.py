@@ -2,33 +2,88 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import tokens
+from quillspark.shipping import ship_package
 
-#: Leading tokens by which items find the texts that may contain them.
+#: Inner tokens by which items find the texts that may contain them.
 GRAM = 4
+#: Bytes of the short items that are searched at a time.
+SHORT_BYTES = 8 << 20
 
 
 def exact_evidence(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Where an item's whole text stands in a document: query_id, doc_id, char_start, char_end (first place).
 
-    Items meet documents by their first tokens, so no pair is compared that does
-    not share them; an item of fewer tokens meets by the first one.
+    The first and the last token of an item may be parts of a document's tokens, those between are
+    whole ones. So items meet documents by their first inner tokens, and no pair is compared that does not share
+    them; items without an inner token are searched together in one pass over each text. Null and empty items are in
+    no document.
     """
-    found = docs.select("doc_id", "text", tokens(F.col("text")).alias("tokens"))
-    asked = items.select(F.col("item_id").alias("query_id"), F.col("text").alias("item"), tokens(F.col("text")).alias("q")).filter(F.size("q") > 0)
-    asked = asked.withColumn("size", F.when(F.size("q") >= GRAM, GRAM).otherwise(1)).withColumn("gram", F.array_join(F.slice("q", 1, F.col("size")), " "))
-    last = F.size("tokens") - F.lit(GRAM - 1)
-    grams = F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice("tokens", i, GRAM), " "))).otherwise(F.array().cast("array<string>"))
-    wanted = asked.select("gram").distinct()
-    # a token that an item cuts short must still match, so edges of the item are checked by the text alone
-    keys = found.select("doc_id", F.explode(F.array_distinct(F.concat(grams, "tokens"))).alias("gram")).join(wanted, "gram", "left_semi")
-    pairs = keys.join(asked.select("gram", "query_id", "item"), "gram").select("doc_id", "query_id", "item")
-    joined = pairs.join(docs.select("doc_id", "text"), "doc_id")
+    texts = docs.select("doc_id", "text").filter("text is not null")
+    asked = items.select(F.col("item_id").alias("query_id"), F.col("text").alias("item"), tokens(F.col("text")).alias("q")).filter("item <> ''")
+    asked = asked.withColumn("inner", F.slice("q", F.lit(2), F.greatest(F.size("q") - 2, F.lit(0)))).withColumn("size", F.least(F.size("inner"), F.lit(GRAM)))
+    hashed = F.when(F.col("size") == GRAM, F.xxhash64(*[F.get("inner", F.lit(i)) for i in range(GRAM)])).otherwise(F.xxhash64(F.get("inner", F.lit(0))))
+    asked = asked.select("query_id", "item", "size", hashed.alias("gram"))
+    sizes = {r["size"] for r in asked.select("size").distinct().collect()}  # at most GRAM + 1 of them
+    found = [_meet_by_inner_tokens(texts, asked.filter("size > 0"), GRAM in sizes, bool(sizes - {0, GRAM}))] if sizes - {0} else []
+    if 0 in sizes or not found:
+        found += _search_short(texts, asked.filter("size = 0").select("query_id", "item"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _meet_by_inner_tokens(texts: DataFrame, asked: DataFrame, grams: bool, single: bool) -> DataFrame:
+    words = texts.select("doc_id", tokens(F.col("text")).alias("t"))
+    starts = F.when(F.size("t") >= GRAM, F.sequence(F.lit(0), F.size("t") - F.lit(GRAM))).otherwise(F.array().cast("array<int>"))
+    keys = [F.transform(starts, lambda i: F.xxhash64(*[F.get(F.col("t"), i + F.lit(k)) for k in range(GRAM)]))] if grams else []
+    keys += [F.transform("t", lambda x: F.xxhash64(x))] if single else []
+    met = words.select("doc_id", F.explode(F.array_distinct(F.concat(*keys))).alias("gram")).join(asked.select("gram", "query_id"), "gram").select("doc_id", "query_id").distinct()
     at = F.instr("text", F.col("item"))
-    return joined.filter(at > 0).select("query_id", "doc_id", (at - 1).cast("int").alias("char_start"), (at - 1 + F.length("item")).cast("int").alias("char_end"))
+    joined = texts.join(met, "doc_id").join(asked.select("query_id", "item"), "query_id").withColumn("at", at).filter("at > 0")
+    return joined.select("query_id", "doc_id", (F.col("at") - 1).cast("int").alias("char_start"), (F.col("at") - 1 + F.length("item")).cast("int").alias("char_end"))
+
+
+def _search_short(texts: DataFrame, short: DataFrame) -> list[DataFrame]:
+    """Items of too few tokens, in blocks of bounded bytes, each searched by one automaton."""
+    ship_package(texts.sparkSession)
+    blocks, held = [[]], 0
+    for r in short.toLocalIterator():
+        held += len(r["item"].encode())
+        if held > SHORT_BYTES:
+            blocks.append([])
+            held = len(r["item"].encode())
+        blocks[-1].append((r["query_id"], r["item"]))
+
+    def search(block):
+        def run(batches):
+            import ahocorasick
+
+            by_item: dict[str, list] = {}
+            for query_id, item in block:
+                by_item.setdefault(item, []).append(query_id)
+            machine = ahocorasick.Automaton()
+            for item in by_item:
+                machine.add_word(item, item)
+            machine.make_automaton()
+            for batch in batches:
+                rows = []
+                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    first: dict[str, int] = {}
+                    for end, item in machine.iter(text):
+                        first.setdefault(item, end + 1)
+                    rows += [(q, doc_id, end - len(item), end) for item, end in first.items() for q in by_item[item]]
+                columns = list(zip(*rows, strict=True)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["query_id", "doc_id", "char_start", "char_end"])
+
+        schema = "query_id long, doc_id long, char_start int, char_end int"
+        return texts.mapInArrow(run, schema) if block else texts.sparkSession.createDataFrame([], schema)
+
+    return [search(block) for block in blocks]
 
 
 def gold_chunks(evidence: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -41,6 +96,13 @@ def gold_chunks(evidence: DataFrame, chunks: DataFrame) -> DataFrame:
     return chunks.join(e, "doc_id").filter(hit).select("query_id", "doc_id", "position").distinct()
 
 
+def require_gold(questions: DataFrame, gold: DataFrame) -> DataFrame:
+    """``gold`` with an error where a question of ``questions`` (query_id) has none."""
+    found = questions.select("query_id").distinct().join(gold, "query_id", "left")
+    chunk = F.when(F.col("chunk_id").isNull(), F.raise_error(F.concat(F.lit("no gold chunk for question "), F.col("query_id").cast("string"))).cast("long")).otherwise(F.col("chunk_id"))
+    return found.select("query_id", chunk.alias("chunk_id"))
+
+
 def per_query(rankings: DataFrame, gold: DataFrame, k: int, keys: DataFrame | None = None) -> DataFrame:
     """recall, complete and rr of each question that has gold, 0 where nothing was found.
 
@@ -68,15 +130,13 @@ def paired(base: DataFrame, other: DataFrame, metric: str) -> DataFrame:
 
 
 def difference(pairs: DataFrame) -> DataFrame:
-    """Mean of o - b, its standard error and their ratio (null without error)."""
+    """Mean of o - b, its standard error and their ratio (null without error); fewer than two pairs are an error."""
     d = F.col("o") - F.col("b")
-    out = pairs.agg(F.count("*").alias("n"), F.avg(d).alias("diff"), (F.stddev_samp(d) / F.sqrt(F.count("*"))).alias("se"))
+    n = F.when(F.count("*") < 2, F.raise_error(F.lit("a paired difference needs two questions")).cast("long")).otherwise(F.count("*"))
+    out = pairs.agg(n.alias("n"), F.avg(d).alias("diff"), (F.stddev_samp(d) / F.sqrt(F.count("*"))).alias("se"))
     return out.select("n", F.round("diff", 6).alias("diff"), F.round("se", 6).alias("se"), z_score(F.col("diff"), F.col("se")).alias("z"))
 
 
 def z_score(diff: Column, se: Column) -> Column:
     return F.when(se != 0, F.round(diff / se, 4))
 
-
-def rank_in(scores: DataFrame, by: list[str]) -> DataFrame:
-    return scores.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.col("score").desc(), "chunk_id")))

@@ -268,12 +268,12 @@ QUERIES = {f.__name__: f for f in (
 
 _TOK = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')"
 _INDEX = rf"""
-toks AS (SELECT doc_id AS chunk_id, {_TOK} AS tokens FROM documents),
+toks AS MATERIALIZED (SELECT doc_id AS chunk_id, {_TOK} AS tokens FROM documents),
 lens AS (SELECT chunk_id, CAST(len(tokens) AS BIGINT) AS length FROM toks),
-post AS (SELECT term, chunk_id, count(*) AS tf FROM (SELECT chunk_id, unnest(tokens) AS term FROM toks) GROUP BY term, chunk_id),
+post AS MATERIALIZED (SELECT term, chunk_id, count(*) AS tf FROM (SELECT chunk_id, unnest(tokens) AS term FROM toks) GROUP BY term, chunk_id),
 stats0 AS (SELECT count(*) AS n_docs, avg(length) AS avgdl FROM lens),
 dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term),
-raw AS (SELECT term, df, ln((n_docs - df + 0.5e0) / (df + 0.5e0)) AS idf FROM dfs, stats0),
+raw AS MATERIALIZED (SELECT term, df, ln((n_docs - df + 0.5e0) / (df + 0.5e0)) AS idf FROM dfs, stats0),
 stats AS (SELECT n_docs, avgdl, coalesce((SELECT avg(idf) FROM raw), 0) AS avg_idf FROM stats0),
 terms AS (SELECT term, df, CASE WHEN idf < 0 THEN 0.25e0 * avg_idf ELSE idf END AS idf FROM raw, stats),
 qtok AS (SELECT item_id AS query_id, {_TOK} AS tokens FROM benchmark),

@@ -49,14 +49,15 @@ def test_seed_matches_python(spark):
 
 
 SENTENCES = [
-    ("One. Two! Three?", ["One.", "Two!", "Three?"]),
-    ("Dr. Smith came. He left.", ["Dr. Smith came.", "He left."]),
-    ("J. K. Rowling wrote. It sold.", ["J. K. Rowling wrote.", "It sold."]),
-    ("The U.S. Army came. Then went.", ["The U.S. Army came.", "Then went."]),
-    ('He said "Go." Then left.', ['He said "Go."', "Then left."]),
-    ("It was 5 p.m. and dark. Yes.", ["It was 5 p.m. and dark.", "Yes."]),
-    ("   ", []),
-    ("no end", ["no end"]),
+    ("Rain fell all day. Nobody minded! Why would they?", ["Rain fell all day.", "Nobody minded!", "Why would they?"]),
+    ("We met Prof. Lund at noon. She was late.", ["We met Prof. Lund at noon.", "She was late."]),
+    ("A. B. Quill signed it. So did I.", ["A. B. Quill signed it.", "So did I."]),
+    ("Trains from D.C. Union leave hourly. Take one.", ["Trains from D.C. Union leave hourly.", "Take one."]),
+    ("(It rained.) Then it stopped... Really?! Yes.", ["(It rained.)", "Then it stopped...", "Really?!", "Yes."]),
+    ("They closed at 9 p.m. and reopened. Odd!", ["They closed at 9 p.m. and reopened.", "Odd!"]),
+    (" \n\t", []),
+    ("a line without any end", ["a line without any end"]),
+    ("x" * 200_000 + ". Y", ["x" * 200_000 + ".", "Y"]),
 ]
 
 
@@ -119,6 +120,33 @@ def test_fusion_by_hand(spark):
     assert scaled[10] == (1.0, 0.0) and scaled[12] == (0.0, 1.0) and scaled[13] == (0.0, 1.0) and abs(scaled[11][0] - 0.5) < 1e-12
 
 
+def test_evidence_of_cut_tokens_and_short_items(spark):
+    """Substrings that begin and end inside tokens, items of few or no tokens, against a plain search."""
+    rng = random.Random(6)
+    docs = [(k, " ".join(rng.choice(["cat", "concat", "sat", "mat", "the", "on", "é!", "--"]) for _ in range(rng.randint(0, 40)))) for k in range(60)] + [(99, None)]
+    items = [(1, "cat sat on the mat"), (2, "at"), (3, "--"), (4, ""), (5, None), (6, "t on the m")]
+    for k in range(60):
+        text = docs[rng.randrange(60)][1]
+        a = rng.randrange(len(text) + 1)
+        items.append((10 + k, text[a : a + rng.randint(1, 40)]))
+    docs.append((100, "a concat sat on the mat here"))
+    got = sorted(tuple(r) for r in evaluate.exact_evidence(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect())
+    assert got == sorted((q, d, t.find(i), t.find(i) + len(i)) for q, i in items if i for d, t in docs if t and i in t)
+    assert evaluate.exact_evidence(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")).count() == 0
+
+
+def test_hashed_vector(spark):
+    import hashlib
+
+    words = ["a", "b", "a", "ccc", "été"]
+    counts = [0.0] * 64
+    for w in words:
+        counts[hashlib.md5(w.encode()).digest()[-1] % 64] += 1
+    norm = sum(c * c for c in counts) ** 0.5
+    rows = spark.createDataFrame([(words,), ([],)], "t array<string>").select(T.hashed_vector(F.col("t")).alias("v")).collect()
+    assert rows[0]["v"] == pytest.approx([c / norm for c in counts]) and rows[1]["v"] == [1.0] + [0.0] * 63
+
+
 def test_metrics_by_hand(spark):
     ranks = spark.createDataFrame([(1, 5, 1), (1, 6, 2), (2, 7, 1), (2, 8, 2)], "query_id long, chunk_id long, rank int")
     gold = spark.createDataFrame([(1, 6), (1, 9), (2, 1), (3, 1)], "query_id long, chunk_id long")
@@ -151,10 +179,12 @@ def test_bm25_against_plain_python(spark):
 
 
 def test_wilson(spark):
-    rows = spark.createDataFrame([(37, 40), (36, 40), (39, 39), (88, 100), (0, 0), (5, 4)], "k long, n long")
+    rows = spark.createDataFrame([(37, 40), (36, 40), (39, 39), (88, 100), (0, 0)], "k long, n long")
     got = rows.select(review.wilson_lower(F.col("k"), F.col("n")).alias("b"), review.passes_gate(F.col("k"), F.col("n")).alias("p")).collect()
     assert [r["p"] for r in got[:5]] == [True, False, False, True, False]
-    assert got[4]["b"] == 0.0 and got[5]["b"] is None
+    assert got[4]["b"] == 0.0
+    with pytest.raises(Exception, match="5 of 4 is not a share"):
+        spark.createDataFrame([(5, 4)], "k long, n long").select(review.wilson_lower(F.col("k"), F.col("n"))).collect()
     for r, (k, n) in zip(got, [(37, 40), (36, 40), (39, 39), (88, 100)], strict=False):
         # the bound solves (k/n - p)^2 = z^2 p (1 - p) / n
         assert abs((k / n - r["b"]) ** 2 - review.Z**2 * r["b"] * (1 - r["b"]) / n) < 1e-12
