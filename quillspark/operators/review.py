@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 Z = 1.959963984540054
 LEAST_REVIEWED = 40
 LEAST_BOUND = 0.80
+#: Hexadecimal digits of a key by which balancing counts rows.
+BUCKET_DIGITS = 3
 
 
 def wilson_lower(k: Column, n: Column) -> Column:
-    """Lower end of the Wilson interval; 0 without trials, null where k is outside 0..n."""
+    """Lower end of the Wilson interval; 0 without trials, an error where k is outside 0..n."""
     p, z2 = k / n, Z * Z
     bound = (p + z2 / (2 * n) - Z * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n)
-    return F.when(n <= 0, 0.0).when((k >= 0) & (k <= n), F.greatest(F.lit(0.0), bound))
+    outside = F.raise_error(F.concat(k.cast("string"), F.lit(" of "), n.cast("string"), F.lit(" is not a share"))).cast("double")
+    return F.when(n <= 0, 0.0).when((k >= 0) & (k <= n), F.greatest(F.lit(0.0), bound)).when(k.isNotNull() & n.isNotNull(), outside)
 
 
 def passes_gate(k: Column, n: Column) -> Column:
@@ -32,13 +35,22 @@ def balanced(rows: DataFrame, types: DataFrame, id_col: str, type_col: str, seed
     """Rows down-sampled, in each group of types, to the smallest present type.
 
     ``types`` has type and grp. Which rows stay is by the md5 of seed, type and id, so it is the
-    same on any engine. The stratum is the type alone.
+    same on any engine. The stratum is the type alone. A type without a group is an error, a null one is dropped.
+
+    Rows are counted by the leading digits of their key; whole buckets below a type's cut stay, and only rows
+    of the one bucket in which it falls are put in order, so no task ranks all rows of a type.
     """
     counts = rows.groupBy(F.col(type_col).alias("type")).agg(F.count("*").alias("n")).join(types, "type")
     floor = counts.withColumn("floor", F.min("n").over(Window.partitionBy("grp"))).select(F.col("type").alias(type_col), "floor")
     key = F.md5(F.concat_ws(":", F.lit(seed), F.col(type_col), F.col(id_col).cast("string")).cast("binary"))
-    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy(type_col).orderBy(key, id_col)))
-    return ranked.join(floor, type_col).filter("_r <= floor").drop("_r", "floor")
+    keyed = rows.filter(F.col(type_col).isNotNull()).withColumn("_key", key).withColumn("_bucket", F.substring("_key", 1, BUCKET_DIGITS))
+    counted = keyed.groupBy(type_col, "_bucket").agg(F.count("*").alias("_n")).join(floor, type_col, "left")
+    known = F.when(F.col("floor").isNull(), F.raise_error(F.concat(F.lit("no group has the type "), F.col(type_col))).cast("long")).otherwise(F.col("floor"))
+    before = F.sum("_n").over(Window.partitionBy(type_col).orderBy("_bucket")) - F.col("_n")
+    buckets = counted.withColumn("_left", known - before).filter("_left > 0").select(type_col, "_bucket", "_left", (F.col("_n") <= F.col("_left")).alias("_whole"))
+    chosen = keyed.join(buckets, [type_col, "_bucket"])
+    cut = chosen.filter(~F.col("_whole")).withColumn("_r", F.row_number().over(Window.partitionBy(type_col).orderBy("_key", id_col))).filter("_r <= _left").drop("_r")
+    return chosen.filter("_whole").unionByName(cut).select(*rows.columns)
 
 
 def unknown_types(rows: DataFrame, types: DataFrame, type_col: str) -> DataFrame:

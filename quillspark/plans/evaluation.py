@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
-from quillspark.operators import dataset, generation, review, variants
+from quillspark.operators import dataset, evaluate, generation, material, review, variants
 from quillspark.sources import evalset
 from quillspark.sources.tables import table
 
@@ -45,6 +45,45 @@ def materials(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def corpus_materials(spark: SparkSession, d: str) -> DataFrame:
+    """Materials of the benchmark: its items found in documents are the evidence, the documents after an item's number distract.
+
+    Documents have sentences of 80 characters and chunks of 400.
+    """
+    t = table(spark, d, "documents").filter("text <> ''")
+    pieces = lambda width: F.transform(F.sequence(F.lit(0), F.length("text") - 1, F.lit(width)), lambda i: F.struct(i.alias("start"), F.least(i + F.lit(width), F.length("text")).alias("end")))
+    docs = t.select("doc_id", F.concat(F.lit("Title "), F.col("doc_id").cast("string"), F.lit(" (note)")).alias("title"), "text", pieces(80).alias("sentence_spans"))
+    chunks = t.select("doc_id", "text", F.posexplode(pieces(400)).alias("at", "s")).select((F.col("doc_id") * 100000 + F.col("at")).alias("chunk_id"), "doc_id", F.col("s.start").alias("char_start"), F.col("s.end").alias("char_end"), F.substring("text", F.col("s.start") + 1, F.lit(400)).alias("text"))
+    items = table(spark, d, "benchmark")
+    questions = items.select(F.col("item_id").cast("string").alias("key"), F.substring_index("text", " ", 2).alias("answer"))
+    evidence = evaluate.exact_evidence(t, items).select(F.col("query_id").cast("string").alias("key"), F.col("doc_id").alias("place"), "doc_id", "char_start", "char_end")
+    numbered = items.select(F.col("item_id").cast("string").alias("key"), F.explode(F.sequence(F.col("item_id") + 1, F.col("item_id") + 3)).alias("doc_id"))
+    distractors = numbered.join(evidence.select("key", "doc_id"), ["key", "doc_id"], "left_anti").select("key", F.col("doc_id").alias("place"), "doc_id")
+    return material.assemble(questions, evidence, distractors, docs, chunks)
+
+
+def material_assembly(spark, d):
+    m = corpus_materials(spark, d)
+    joined = lambda c, f, by: F.array_join(F.transform(F.coalesce(c, F.array()), f), by)
+    return m.select(
+        "key", "answer", joined("gold", lambda x: x["text"], "|").alias("gold"), F.array_join(variants.cited(F.coalesce("gold", F.array())), ",").alias("cited"), F.array_join("titles", "|").alias("titles"),
+        F.size("extras").cast("long").alias("n_extras"), F.array_join(variants.cited(F.col("extras")), ",").alias("extra_ids"), joined("distractors", lambda x: x["chunk_id"].cast("string"), ",").alias("distractor_ids"), F.array_join(F.coalesce("candidates", F.array().cast("array<string>")), "|").alias("candidates"),
+    )
+
+
+def corpus_variants(spark, d):
+    """The native variants of the benchmark's materials as rows to store."""
+    m = corpus_materials(spark, d)
+    made = variants.correct(m).unionByName(variants.terse(m)).unionByName(variants.missing(m)).withColumn("params", F.lit("{}")).withColumn("guard_report", F.lit("[]"))
+    rows = variants.stored_rows(made, "pieces(400)", SEED)
+    return rows.select("question_id", "chunk_set_id", "seed", "variant_type", "is_correct", "label_source", "status", "discard_reason", "constructor_version", "text", F.array_join("cited_chunk_ids", ",").alias("cited"))
+
+
+def corpus_variants_seeded(spark, d):
+    """All seven outcomes of each of the benchmark's materials, as rows to store."""
+    return variants.stored_rows(variants.all_variants(corpus_materials(spark, d), SEED), "pieces(400)", SEED)
+
+
 def _flat(df: DataFrame) -> DataFrame:
     return df.select("key", "variant_type", "is_correct", "text", "discard_reason", F.array_join("cited", ",").alias("cited"))
 
@@ -276,7 +315,7 @@ def sampled_subset(spark, d):
 
 def insert_or_ignore(spark, d):
     c = table(spark, d, "customer").select("c_custkey", F.lit("old").alias("state"))
-    return evalset.insert_or_ignore(c.filter("c_custkey % 3 = 0"), c.filter("c_custkey % 2 = 0").withColumn("state", F.lit("new")), ["c_custkey"])
+    return evalset.insert_or_ignore(c.filter("c_custkey % 3 = 0"), c.filter("c_custkey % 3 <> 0 or c_custkey % 2 = 0").withColumn("state", F.lit("new")), ["c_custkey"])
 
 
 def replace_by_key(spark, d):
@@ -298,7 +337,7 @@ QUERIES = {f.__name__: f for f in (
     variant_correct, variant_terse, variant_verbose, variant_missing, variant_wrong_detail, variant_partial_wrong, variant_wrong_citation, variants_all, discard_report, discard_report_all, guard_report,
     normalize_answers, contains_answers, value_types, type_counts, disambiguation, find_value_count, description, seeds, balance_by_type, balance_summary, wilson_gate, min_plausible,
     exclusion_report, parse_answers, call_cost, attribution_audit, model_versions, constraint_audit, render_context, prompts, generate_answers, validate_eval_set, paragraphs, example_filters, sampled_subset,
-    insert_or_ignore, replace_by_key, cascade_delete,
+    insert_or_ignore, replace_by_key, cascade_delete, material_assembly, corpus_variants, corpus_variants_seeded,
 )}
 
 # --- the same in SQL ----------------------------------------------------------
@@ -366,7 +405,36 @@ def _parsed_case(i: int) -> str:
     return f"CASE event_id % {len(_KINDS)} {' '.join(rows)} END"
 
 
+_CORPUS = r"""
+d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE text <> ''),
+chunk AS (SELECT doc_id, doc_id * 100000 + CAST(i AS BIGINT) AS chunk_id, i * 400 AS a, least(i * 400 + 400, n) AS z FROM (SELECT doc_id, n, unnest(range(0, CAST(ceil(n / 400.0) AS BIGINT))) AS i FROM d)),
+ev AS (SELECT b.item_id, d.doc_id, instr(d.text, b.text) - 1 AS a, instr(d.text, b.text) - 1 + length(b.text) AS z, b.text FROM d JOIN benchmark b ON b.text <> '' AND contains(d.text, b.text)),
+ev_ids AS (SELECT item_id, ev.doc_id, chunk_id FROM ev JOIN chunk c ON c.doc_id = ev.doc_id AND c.a < ev.z AND ev.a < c.z),
+gold AS (SELECT item_id, string_agg(text, '|' ORDER BY doc_id) AS gold, string_agg(text, ' ' ORDER BY doc_id) AS gold_text, string_agg('Title ' || doc_id || ' (note)', '|' ORDER BY doc_id) AS titles FROM ev GROUP BY item_id),
+cites AS (SELECT item_id, string_agg(chunk_id, ',' ORDER BY chunk_id) AS cited FROM (SELECT DISTINCT item_id, chunk_id FROM ev_ids) GROUP BY item_id),
+sent AS (SELECT ev.item_id, ev.doc_id, i * 80 AS a, least(i * 80 + 80, n) AS z FROM (SELECT doc_id, n, unnest(range(0, CAST(ceil(n / 80.0) AS BIGINT))) AS i FROM d) s JOIN ev ON ev.doc_id = s.doc_id WHERE NOT (i * 80 = ev.a AND least(i * 80 + 80, n) = ev.z)),
+extras AS (SELECT item_id, count(*) AS n_extras FROM sent GROUP BY item_id),
+extra_ids AS (SELECT item_id, string_agg(chunk_id, ',' ORDER BY chunk_id) AS extra_ids FROM (SELECT DISTINCT item_id, chunk_id FROM sent JOIN chunk c ON c.doc_id = sent.doc_id AND c.a < sent.z AND sent.a < c.z) GROUP BY item_id),
+far AS (SELECT b.item_id, d.doc_id FROM benchmark b JOIN d ON d.doc_id BETWEEN b.item_id + 1 AND b.item_id + 3 WHERE NOT EXISTS (SELECT 1 FROM ev WHERE ev.item_id = b.item_id AND ev.doc_id = d.doc_id)),
+far_ids AS (SELECT item_id, string_agg(chunk_id, ',' ORDER BY chunk_id) AS distractor_ids FROM far JOIN chunk USING (doc_id) GROUP BY item_id),
+names AS (SELECT item_id, string_agg('Title ' || doc_id, '|' ORDER BY doc_id) AS candidates FROM far GROUP BY item_id),
+q AS (SELECT item_id, CAST(item_id AS VARCHAR) AS key, CASE WHEN len(string_split(text, ' ')) > 1 THEN string_split(text, ' ')[1] || ' ' || string_split(text, ' ')[2] ELSE text END AS answer FROM benchmark),
+cm AS (SELECT q.*, gold, gold_text, titles, cited FROM q LEFT JOIN gold USING (item_id) LEFT JOIN cites USING (item_id)),
+stated AS (SELECT item_id, text, doc_id, HAS AS s FROM ev JOIN q USING (item_id)),
+rest AS (SELECT item_id, string_agg(text, ' ' ORDER BY doc_id) FILTER (WHERE NOT s) AS rest, count(*) FILTER (WHERE s) AS n_s, count(*) AS n FROM stated GROUP BY item_id)
+""".replace("HAS", _has("answer", "text"))
+
+
+def _stored(kind: str, correct: str, text: str, why: str, cited: str) -> str:
+    return f"SELECT key AS question_id, 'pieces(400)' AS chunk_set_id, CAST({SEED} AS BIGINT) AS seed, '{kind}' AS variant_type, {correct} AS is_correct, 'construction' AS label_source, CASE WHEN {why} IS NULL THEN 'labelled' ELSE 'discarded' END AS status, {why} AS discard_reason, 1 AS constructor_version, CASE WHEN {why} IS NULL THEN {text} END AS text, CASE WHEN {why} IS NULL THEN {cited} ELSE '' END AS cited FROM cm LEFT JOIN rest USING (item_id)"
+
+
+_NONE = "CASE WHEN gold IS NULL OR trim(answer) = '' THEN 'no_gold_evidence_or_answer' END"
+_FEWER = "CASE WHEN gold IS NULL OR trim(answer) = '' THEN 'no_gold_evidence_or_answer' WHEN n_s = n THEN 'every_gold_sentence_states_answer' WHEN n_s = 0 THEN 'no_gold_sentence_states_answer' ELSE 'mixed' END"
+
 ORACLES = {
+    "material_assembly": f"WITH {_CORPUS} SELECT key, answer, coalesce(gold, '') AS gold, coalesce(cited, '') AS cited, coalesce(titles, '') AS titles, coalesce(n_extras, 0) AS n_extras, coalesce(extra_ids, '') AS extra_ids, coalesce(distractor_ids, '') AS distractor_ids, coalesce(candidates, '') AS candidates FROM cm LEFT JOIN extras USING (item_id) LEFT JOIN extra_ids USING (item_id) LEFT JOIN far_ids USING (item_id) LEFT JOIN names USING (item_id)",
+    "corpus_variants": f"WITH {_CORPUS} {_stored('correct', 'true', f'{_LEAD} || chr(32) || gold_text', _NONE, 'cited')} UNION ALL {_stored('terse_correct', 'true', _LEAD, _NONE, 'cited')} UNION ALL {_stored('partially_correct', 'false', 'rest', _FEWER, 'cited')}",
     "variant_correct": f"WITH {_MAT} SELECT * FROM v_correct",
     "variant_terse": f"WITH {_MAT} SELECT * FROM v_terse",
     "variant_verbose": f"WITH {_MAT} SELECT * FROM v_verbose",
@@ -405,7 +473,7 @@ SELECT o_orderkey, unnest(list_filter([CASE WHEN vt = 'other' THEN 'ck_variant_t
   UNION ALL SELECT 'question', id, 'evidence past the end' FROM b WHERE item_id % 5 <> 0 AND item_id % 3 = 0 AND item_id IN (SELECT doc_id FROM documents))
 SELECT kind, problem, count(DISTINCT id) AS ids FROM p GROUP BY kind, problem""",
     "example_filters": f"WITH {_MAT}, e AS (SELECT k, CASE WHEN k % 19 = 0 THEN 'elsewhere' ELSE answer END AS a, g1, g2 FROM base) SELECT CASE WHEN a = 'yes' THEN 'yes_no_answer' WHEN k % 17 = 0 THEN 'title_text_conflict' WHEN k % 13 = 0 THEN 'supporting_fact_unresolvable' WHEN k % 11 = 0 THEN 'gold_not_exactly_two_paragraphs' WHEN NOT {_has('a', '''(g1 || ' ' || g2)''')} THEN 'answer_not_in_gold_sentences' ELSE 'eligible' END AS reason, count(*) AS n FROM e GROUP BY 1",
-    "insert_or_ignore": "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'old' ELSE 'new' END AS state FROM customer WHERE c_custkey % 3 = 0 OR c_custkey % 2 = 0",
+    "insert_or_ignore": "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'old' ELSE 'new' END AS state FROM customer",
     "replace_by_key": "WITH f AS (SELECT * FROM customer WHERE c_nationkey % 4 = 0 AND c_custkey % 2 = 0) SELECT c_custkey, c_nationkey, 'old' AS state FROM customer WHERE c_nationkey NOT IN (SELECT c_nationkey FROM f) UNION ALL SELECT c_custkey, c_nationkey, 'new' FROM f",
     "cascade_delete": "WITH g AS (SELECT c_custkey FROM customer WHERE c_nationkey = 3), o AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM g)) SELECT 'customer' AS name, (SELECT count(*) FROM customer) - (SELECT count(*) FROM g) AS n UNION ALL SELECT 'orders', (SELECT count(*) FROM orders) - (SELECT count(*) FROM o) UNION ALL SELECT 'lineitem', (SELECT count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM o))",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _SPAN = "struct<start:int,end:int>"
@@ -13,11 +13,14 @@ QUESTION = "id string, question string, reference_answer string, gold_evidence a
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of a JSON lines file with their line number (from 1) and whether the line could be read; blank lines are skipped.
 
-    Line numbers need the order of one file, so they come from the row index of the text
-    source's single split; large corpora should be read without them.
+    The file is read in splits. A split's rows have consecutive ids, so a line's number is its place in its split
+    after the lines of the file's earlier splits.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("at", "line")).filter(F.trim("line") != "")
-    parsed = lines.select((F.col("at") + 1).alias("line_number"), F.from_json("line", schema + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("row"))
+    lines = spark.read.text(path, lineSep="\n").select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    splits = lines.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    earlier = F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")
+    numbered = lines.join(splits.select("file", "block", (earlier - F.col("first")).alias("shift")), ["file", "block"]).withColumn("at", F.col("id") + F.col("shift"))
+    parsed = numbered.filter(F.trim("line") != "").select((F.col("at") + 1).cast("int").alias("line_number"), F.from_json("line", schema + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("row"))
     return parsed.select("line_number", "row.*").withColumn("readable", F.col("_bad").isNull()).drop("_bad")
 
 

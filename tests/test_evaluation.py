@@ -12,6 +12,92 @@ from quillspark.sources import evalset
 SF = "/root/testdata/sf0.001"
 
 
+def test_materials_against_a_loop(spark):
+    """Gold, extra sentences, titles, distractors and chunk ids by plain Python."""
+    from quillspark.operators import material
+
+    texts = {"a": "One two. Three four. Five.", "b": "Six. Seven eight nine."}
+    spans = {"a": [(0, 8), (9, 20), (21, 26)], "b": [(0, 4), (5, 22)]}
+    docs = spark.createDataFrame([(k, f"Title {k} (x)", t, [{"start": x, "end": y} for x, y in spans[k]]) for k, t in texts.items()] + [("c", "C", "Other", None)], "doc_id string, title string, text string, sentence_spans array<struct<start:int,end:int>>")
+    chunks = [(1, "a", 0, 10), (2, "a", 10, 26), (3, "b", 0, 22)]
+    rows = spark.createDataFrame([(i, d, x, y, texts[d][x:y]) for i, d, x, y in chunks], "chunk_id long, doc_id string, char_start int, char_end int, text string")
+    questions = spark.createDataFrame([("q", "five"), ("none", "x")], "key string, answer string")
+    evidence = spark.createDataFrame([("q", 1, "a", 9, 20), ("q", 0, "b", 5, 22), ("q", 2, "a", 0, 8), ("q", 3, "gone", 0, 1)], "key string, place int, doc_id string, char_start int, char_end int")
+    distractors = spark.createDataFrame([("q", 0, "c"), ("q", 1, "gone"), ("none", 0, "b")], "key string, place int, doc_id string")
+    got = {r["key"]: r for r in material.assemble(questions, evidence, distractors, docs, rows).collect()}
+    q = got["q"]
+    assert [(g["text"], g["chunk_ids"]) for g in q["gold"]] == [("Seven eight nine.", [3]), ("Three four.", [1, 2]), ("One two.", [1])]
+    assert [(g["text"], g["chunk_ids"]) for g in q["extras"]] == [("Six.", [3]), ("Five.", [2])] and q["titles"] == ["Title b (x)", "Title a (x)"]
+    assert q["distractors"] == [] and q["candidates"] == ["C"]
+    assert got["none"]["gold"] is None and [c["chunk_id"] for c in got["none"]["distractors"]] == [3] and got["none"]["candidates"] == ["Title b"]
+
+
+def test_stored_rows_keep_every_constraint(spark):
+    rows = evaluation.corpus_variants_seeded(spark, SF).withColumn("id", F.monotonically_increasing_id()).cache()
+    kinds = {tuple(r) for r in rows.select("variant_type", "status").distinct().collect()}
+    assert len({k for k, _ in kinds}) == 6 and ("right_answer_wrong_citation", "labelled") in kinds
+    assert review.violations(rows, review.variant_constraints(variants.ACCEPT, variants.REJECT), "id").count() == 0
+    kept = rows.filter("variant_type = 'right_answer_wrong_citation' and status = 'labelled'").first()
+    assert [g["name"] for g in json.loads(kept["guard_report"])] == ["cites_something", "disjoint_from_gold", "no_support_in_cited"]
+
+
+def test_citation_guards():
+    chunks = [{"chunk_id": 4, "text": "Nothing here"}, {"chunk_id": 5, "text": "About Oslo"}]
+    assert variants.failed_guard(variants.citation_guards([], [1], ["x"])) == "cites_something"
+    assert variants.failed_guard(variants.citation_guards(chunks, [4], ["x"])) == "disjoint_from_gold"
+    assert variants.failed_guard(variants.citation_guards(chunks, [1], ["oslo"])) == "no_support_in_cited"
+    assert variants.failed_guard(variants.citation_guards(chunks, [1], ["x"])) is None
+
+
+def test_corpus_is_loaded_once(spark, tmp_path):
+    from quillspark.operators import chunking
+    from quillspark.sources import corpus
+
+    class BagOfWords:
+        """Offline embedder: counts of words by hash, of unit length."""
+
+        dim, instruction = 16, "find: "
+
+        def __init__(self, scale=1.0, short=0):
+            self.scale, self.short = scale, short
+
+        def embed(self, texts):
+            import hashlib
+
+            import numpy as np
+
+            out = np.zeros((len(texts), self.dim))
+            for row, text in zip(out, texts, strict=True):
+                for w in [*text.lower().split(), "."]:
+                    row[hashlib.md5(w.encode()).digest()[0] % self.dim] += 1
+            return (out / np.linalg.norm(out, axis=1)[:, None] * self.scale)[:, self.short :]
+
+    docs = spark.createDataFrame([("1", "t", "One two. Three.", None, None), ("2", "u", "Four five six.", [(0, 4), (5, 14)], None)], evalset.DOCUMENT)
+    questions = spark.createDataFrame([("q", "?", "a", [("1", 0, 3)], None)], evalset.QUESTION)
+    root, config = str(tmp_path / "c"), chunking.Config("sentence_window", 1, 0)
+    assert corpus.of(spark, f"{root}/documents", corpus="x") is None
+    corpus.load_corpus(spark, root, "x", docs, questions)
+    corpus.load_corpus(spark, root, "y", docs.limit(1).filter("id = '1'"), questions)
+    with pytest.raises(ValueError, match="already"):
+        corpus.load_corpus(spark, root, "x", docs, questions)
+    with pytest.raises(ValueError, match="unknown document"):
+        corpus.load_corpus(spark, root, "z", docs.filter("id = '2'"), questions)
+    made, new = corpus.chunk_set(spark, root, "x", config)
+    assert new and sorted(r["text"] for r in made.collect()) == ["Four", "One two.", "Three.", "five six."]
+    again, new = corpus.chunk_set(spark, root, "x", config)
+    assert not new and sorted(map(str, again.collect())) == sorted(map(str, made.collect()))
+    vectors, new = corpus.embeddings(spark, root, "x", config, "bag", BagOfWords)
+    assert new and vectors.count() == 4 and not corpus.embeddings(spark, root, "x", config, "bag", BagOfWords)[1]
+    for bad, why in ((lambda: BagOfWords(2.0), "unit length"), (lambda: BagOfWords(1.0, 1), "shape")):
+        with pytest.raises(Exception, match=why):
+            corpus.embedded(made, bad, "chunk_id").collect()
+    asked = spark.createDataFrame([(1, "two")], "id long, text string")
+    assert corpus.embedded(asked, BagOfWords, "id", questions=True).first()["vector"] != corpus.embedded(asked, BagOfWords, "id").first()["vector"]
+    ids = [r["chunk_id"] for r in made.orderBy("text").collect()]
+    assert [(r["chunk_id"], r["place"]) for r in corpus.chunks_by_id(made, [ids[2], ids[0], 5]).orderBy("place").collect()] == [(ids[2], 0), (ids[0], 1)]
+    assert corpus.chunks_by_id(made, []).count() == 0 and [r["id"] for r in corpus.first_questions(docs, 1).collect()] == ["1"]
+
+
 def test_variants_obey_their_labels(spark):
     m = {r["key"]: r for r in evaluation.materials(spark, SF).collect()}
     seen = {}
@@ -47,17 +133,18 @@ def test_variants_do_not_depend_on_partitions(spark):
 )
 def test_guards(replacement, tamper, expected):
     source = "It began in 1999."
-    spans = variants.places(source, "1999")
-    result = variants.put(source, spans, replacement) + tamper
-    assert variants.failed_guard(source, spans, result, "1999", replacement, "year", "In 2005 it ended.") == expected
+    result = variants.replaced(source, "1999", replacement) + tamper
+    assert variants.failed_guard(variants.mutation_guards(source, result, "1999", replacement, "year", "In 2005 it ended.")) == expected
+    kept = variants.mutation_guards(source, source, "1999", "2001", "year", "")
+    assert variants.failed_guard(kept) == "original_removed" and not kept["rest_unchanged"]
 
 
 def test_values_move_within_their_type():
     for value, kind in (("1000", "year"), ("2099", "year"), ("1", "number"), ("1,500 km", "number"), ("2.50", "number"), ("January 31, 1990", "date"), ("5 May 2001", "date")):
         for seed in range(30):
-            new = variants.another(value, kind, variants.generator(seed, value), [])
+            new = variants.another(value, kind, variants.Draws(seed, value), [])
             assert new != value and variants.value_kind(new) == kind
-    assert variants.another("Oslo", "entity", variants.generator(1), ["x"]) is None
+    assert variants.another("Oslo", "entity", variants.Draws(1), ["x"]) is None
 
 
 SHOWN = {"C1": 10, "C2": 20}
@@ -120,6 +207,14 @@ def test_balance_is_by_type_only(spark):
     types = spark.createDataFrame([("g", "a"), ("g", "b"), ("h", "c"), ("h", "d")], "grp string, type string")
     kept = review.balanced(rows, types, "id", "type", 1).groupBy("type").count().collect()
     assert {r["type"]: r["count"] for r in kept} == {"a": 3, "b": 3, "c": 7}
+    with pytest.raises(Exception, match="no group has the type c"):
+        review.balanced(rows, types.filter("type <> 'c'"), "id", "type", 1).collect()
+    import hashlib
+
+    digest = lambda r: (hashlib.md5(f"1:{r['type']}:{r['id']}".encode()).hexdigest(), r["id"])
+    for kind, n in {"a": 3, "b": 3, "c": 7}.items():
+        best = sorted((r for r in rows.collect() if r["type"] == kind), key=digest)[:n]
+        assert {r["id"] for r in review.balanced(rows, types, "id", "type", 1).filter(F.col("type") == kind).collect()} == {r["id"] for r in best}
     assert review.unknown_types(rows, types.filter("type <> 'c'"), "type").collect()[0]["type"] == "c"
 
 
@@ -133,6 +228,33 @@ def test_jsonl_round_trip(spark, tmp_path):
     assert [r["value"] for r in spark.read.text(out).collect()] == ['{"a":"é","b":"x","c":null}']
 
 
+def test_line_numbers_across_splits(spark, tmp_path):
+    """A file that is read in many splits, and two files, against plain reading."""
+    (tmp_path / "in").mkdir()
+    for name, n in (("a.jsonl", 3000), ("b.jsonl", 700)):
+        (tmp_path / "in" / name).write_text("".join("\n" if k % 7 == 0 else json.dumps({"id": f"{name}{k + 1}", "title": "t" * (k % 50), "text": "x"}) + "\n" for k in range(n)), encoding="utf-8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9k")
+    try:
+        got = evalset.read_jsonl(spark, str(tmp_path / "in"), evalset.DOCUMENT)
+        assert got.rdd.getNumPartitions() > 1
+        rows = got.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(rows) == sum(k % 7 != 0 for n in (3000, 700) for k in range(n))
+    assert all(r["id"].endswith(f"l{r['line_number']}") for r in rows)
+
+
+def test_errors_where_results_would_mislead(spark):
+    from quillspark.operators import evaluate
+
+    gold = spark.createDataFrame([(1, 5)], "query_id long, chunk_id long")
+    assert evaluate.require_gold(spark.createDataFrame([(1,)], "query_id long"), gold).count() == 1
+    with pytest.raises(Exception, match="no gold chunk for question 2"):
+        evaluate.require_gold(spark.createDataFrame([(1,), (2,)], "query_id long"), gold).collect()
+    with pytest.raises(Exception, match="needs two questions"):
+        evaluate.difference(spark.createDataFrame([(0.5, 1.0)], "b double, o double")).collect()
+
+
 def test_validation_names_every_problem(spark):
     docs = spark.createDataFrame([("1", "t", "abc", [(0, 2), (1, 3)], None), ("1", "t", "abc", None, None), ("", "t", "", None, None)], evalset.DOCUMENT)
     questions = spark.createDataFrame([("q", "?", "a", [("1", 0, 9)], None), ("r", "", "", [], None), ("s", "?", "a", [("9", 2, 2)], None)], evalset.QUESTION)
