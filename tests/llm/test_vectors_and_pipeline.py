@@ -154,21 +154,59 @@ def test_pipeline(spark):
     for k in set(rows) - left:
         assert any(o < k for o in left), "the smallest of a group stays"
     clean = P.decontaminate(spark, kept, SF).cache()
-    grams = set()
-    for t in bench:
-        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
-        grams |= {tuple(w[i : i + 8]) for i in range(len(w) - 7)}
-    untouched = {r["doc_id"]: r["text"] for r in kept.collect()}
-    for r in clean.collect():
-        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), untouched[r["doc_id"]]))
-        if not any(tuple(w[i : i + 8]) in grams for i in range(len(w) - 7)):
-            assert r["text"] == untouched[r["doc_id"]]
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t)
+    grams = {}
+    for item, t in enumerate(bench):
+        w = word.findall(lower(t))
+        for i in range(max(len(w) - 7, min(len(w), 1))):
+            grams.setdefault(tuple(w[i : i + 8]), set()).add(item)
+    expected = {}
+    for r in kept.collect():
+        spans = [m.span() for m in word.finditer(lower(r["text"]))]
+        w = [lower(r["text"])[a:b] for a, b in spans]
+        hit, items = [False] * len(w), set()
+        for i in range(len(w)):
+            for m in {len(g) for g in grams}:
+                if tuple(w[i : i + m]) in grams and i + m <= len(w):
+                    items |= grams[tuple(w[i : i + m])]
+                    hit[i : i + m] = [True] * m
+        if len(items) > 1 or (items and 2 * sum(hit) >= len(w)):
+            continue
+        gone = [(a, b) for (a, b), h in zip(spans, hit, strict=True) if h]
+        runs = []
+        for k, (a, b) in enumerate(gone):
+            if k and spans.index((a, b)) == spans.index(gone[k - 1]) + 1:
+                runs[-1] = (runs[-1][0], b)
+            else:
+                runs.append((a, b))
+        text = r["text"]
+        for a, b in reversed(runs):
+            text = text[:a] + text[b:]
+        expected[r["doc_id"]] = text
+    assert {r["doc_id"]: r["text"] for r in clean.collect()} == expected
+    assert any(expected.get(r["doc_id"]) != r["text"] for r in kept.collect())
     encoder = bpe.TextEncoder(bpe.RANKS)
     texts = {r["doc_id"]: r["text"] for r in clean.collect()}
     for r in P.encode(spark, clean, SF).collect():
         assert r["text"] == texts[r["doc_id"]] and r["ids"] == encoder.encode([r["text"]])[0].tolist() and r["n_tokens"] == len(r["ids"])
 
 
+def test_stages_with_odd_rows(spark):
+    """Null and repeated ids, null, empty and long texts, equal rows, other columns, and no rows at all."""
+    import corpus_pipeline as P
+
+    rows = [(None, "first words\nof a null id", "en"), (None, None, None), (3, "", "en"), (3, "another text under the id three", "en"), (4, "same row", "de"), (4, "same row", "de"), (9, "long " * 60_000, "fr")]
+    df = spark.createDataFrame([(i, t, lang, "s", None) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long").withColumn("score", P.F.lit("clash")).withColumn("k", P.F.lit(1))
+    for name, stage in P.STAGES:
+        made = stage(spark, df, SF)
+        got = made.collect()
+        assert len(got) == (5 if name == "near duplicates" else 7), name
+        assert name == "encoding" or made.columns == P.COLUMNS
+        assert {r["doc_id"] for r in got} == {None, 3, 4, 9}
+        assert stage(spark, df.limit(0), SF).count() == 0
+
+
 def test_pipeline_runs(spark):
     import corpus_pipeline as P
 
