@@ -1,6 +1,7 @@
 """Corpus pipeline: toxicity, line dedup, SimHash near-dedup, decontamination, byte-level BPE.
 
-Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept.
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. Stages read the columns of documents
+and give them back, the last one aside; other columns are left out, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -32,7 +33,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, less the lines of later repeated runs and later single lines that are not very short."""
+    """All documents, less the lines of later repeated runs and later single lines that are not very short.
+
+    Null texts stay null, rows without an id come first, and equal rows keep the same lines; see :func:`dedup_lines`.
+    """
     return _documents(dedup_lines(docs.select(*COLUMNS), alone=ALONE))
 
 
@@ -42,7 +46,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents with windows of two benchmark items or with mostly hit words; cut the hit spans from the others."""
+    """Drop documents with windows of two benchmark items or with mostly hit words; cut the hit spans from the others.
+
+    Each row is judged by its own text, whatever its id; null and empty texts and an empty benchmark hit nothing.
+    """
     found = find_contamination(docs, table(spark, sf_dir, "benchmark"), with_text=True).filter("n_hit > 0")
     hit = found.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "n_words", "n_hit", F.size("item_ids").alias("n_items"), "clean_text").dropDuplicates(["d", "k"])
     own = docs.select(*COLUMNS)
@@ -52,7 +59,10 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and the text that they decode to."""
+    """Token ids of every document, and the text that they decode to: doc_id, n_tokens, ids, text.
+
+    A null text has no ids and decodes to an empty one; rows are independent, so null and repeated ids stay as they are.
+    """
     decoded = round_trip(docs)
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.decode("data", "UTF-8").alias("text"))
 
