@@ -472,6 +472,10 @@ SELECT o_orderkey, unnest(list_filter([CASE WHEN vt = 'other' THEN 'ck_variant_t
   UNION ALL SELECT 'question', id, 'unknown document' FROM b WHERE item_id % 5 = 0 OR item_id NOT IN (SELECT doc_id FROM documents)
   UNION ALL SELECT 'question', id, 'evidence past the end' FROM b WHERE item_id % 5 <> 0 AND item_id % 3 = 0 AND item_id IN (SELECT doc_id FROM documents))
 SELECT kind, problem, count(DISTINCT id) AS ids FROM p GROUP BY kind, problem""",
+    "paragraphs": """WITH t AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS i FROM conversations),
+  j AS (SELECT conv_id, text, lag(text) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM t WHERE text <> ''),
+  w AS (SELECT conv_id, sum(length(text) + CASE WHEN before IS NOT NULL AND trim(left(text, 1), W) <> '' AND trim(right(before, 1), W) <> '' THEN 1 ELSE 0 END) AS chars FROM j GROUP BY conv_id)
+SELECT conv_id, CAST(i AS BIGINT) AS i, trim(text, W) AS sentence, CAST(coalesce(chars, 0) AS BIGINT) AS chars FROM t LEFT JOIN w USING (conv_id)""".replace("W)", "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"),
     "example_filters": f"WITH {_MAT}, e AS (SELECT k, CASE WHEN k % 19 = 0 THEN 'elsewhere' ELSE answer END AS a, g1, g2 FROM base) SELECT CASE WHEN a = 'yes' THEN 'yes_no_answer' WHEN k % 17 = 0 THEN 'title_text_conflict' WHEN k % 13 = 0 THEN 'supporting_fact_unresolvable' WHEN k % 11 = 0 THEN 'gold_not_exactly_two_paragraphs' WHEN NOT {_has('a', '''(g1 || ' ' || g2)''')} THEN 'answer_not_in_gold_sentences' ELSE 'eligible' END AS reason, count(*) AS n FROM e GROUP BY 1",
     "insert_or_ignore": "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'old' ELSE 'new' END AS state FROM customer",
     "replace_by_key": "WITH f AS (SELECT * FROM customer WHERE c_nationkey % 4 = 0 AND c_custkey % 2 = 0) SELECT c_custkey, c_nationkey, 'old' AS state FROM customer WHERE c_nationkey NOT IN (SELECT c_nationkey FROM f) UNION ALL SELECT c_custkey, c_nationkey, 'new' FROM f",
