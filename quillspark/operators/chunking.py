@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 from itertools import pairwise
@@ -44,6 +45,16 @@ class Config:
         if self.size < 1 or not 0 <= self.overlap < self.size:
             raise ValueError("a window needs size >= 1 and 0 <= overlap < size")
 
+    @classmethod
+    def parse(cls, given: dict | str) -> Config:
+        """From JSON or its dictionary; a strategy takes the keys that it has a use for and no others."""
+        given = dict(json.loads(given) if isinstance(given, str) else given)
+        size = {"fixed_words": "words_per_chunk", "sentence_window": "sentences_per_chunk"}.get(given.get("strategy"))
+        strange = set(given) - {"strategy"} - ({size, "overlap"} if size else set())
+        if strange or "strategy" not in given:
+            raise ValueError(f"not a chunking: {sorted(strange) or 'no strategy'}")
+        return cls(given["strategy"], given.get(size, 1) if size else 1, given.get("overlap", 0))
+
     @property
     def label(self) -> str:
         return self.strategy if self.strategy == "document" else f"{self.strategy}(size={self.size},overlap={self.overlap})"

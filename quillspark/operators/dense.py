@@ -7,6 +7,8 @@ More queries are searched in blocks, each a broadcast of its own.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -90,6 +92,43 @@ def _searcher(shared, k: int):
     return run
 
 
+def mean_similarity(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """q, gold, others: mean inner product of each query with the other vectors of its label, and with those of other labels.
+
+    Both have chunk_id, vector and label. Each batch gives sums by query, so nothing grows with the pairs.
+    """
+    spark = ship_package(vectors.sparkSession)
+    schema = "q long, s1 double, n1 long, s0 double, n0 long"
+    asked = [(r["chunk_id"], r["vector"], r["label"]) for r in queries.filter("vector is not null").toLocalIterator()]
+    rows = vectors.filter("vector is not null").select(F.col("chunk_id").cast("long"), F.col("vector").cast("array<double>"), F.col("label").cast("string"))
+
+    def summer(shared):
+        def run(batches):
+            for batch in batches:
+                ids, matrix, labels = shared.value
+                n = batch.num_rows
+                chunk, own = np.asarray(batch.column(0)), np.array(batch.column(2).to_pylist(), dtype=object)
+                x = np.asarray(batch.column(1).flatten()).reshape(n, -1)
+                step = max(1, SCORES // max(n, 1))
+                for at in range(0, len(ids), step):
+                    s = matrix[at : at + step] @ x.T
+                    known = np.array([[v is not None for v in own]]) & np.array([[v is not None] for v in labels[at : at + step]])
+                    apart = (ids[at : at + step, None] != chunk[None, :]) & known
+                    same = apart & (labels[at : at + step, None] == own[None, :])
+                    other = apart & ~same
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + step]), pa.array((s * same).sum(axis=1)), pa.array(same.sum(axis=1)), pa.array((s * other).sum(axis=1)), pa.array(other.sum(axis=1))], names=["q", "s1", "n1", "s0", "n0"])
+
+        return run
+
+    parts = []
+    for block in _blocks(asked):
+        shared = spark.sparkContext.broadcast((np.array([q for q, _, _ in block], dtype=np.int64), np.array([v for _, v, _ in block], dtype=np.float64), np.array([None if v is None else str(v) for _, _, v in block], dtype=object)))
+        parts.append(rows.mapInArrow(summer(shared), schema))
+    every = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
+    mean = lambda s, n: F.round(F.when(F.sum(n) > 0, F.sum(s) / F.sum(n)), 6)
+    return every.groupBy("q").agg(mean("s1", "n1").alias("gold"), mean("s0", "n0").alias("others"))
+
+
 def similarity_matrix(left: DataFrame, right: DataFrame) -> DataFrame:
     """left_id, right_id, score of every pair of two small tables of id and vector."""
     a = left.select(F.col("id").alias("left_id"), F.col("vector").alias("x"))

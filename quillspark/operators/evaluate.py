@@ -137,6 +137,17 @@ def difference(pairs: DataFrame) -> DataFrame:
     return out.select("n", F.round("diff", 6).alias("diff"), F.round("se", 6).alias("se"), z_score(F.col("diff"), F.col("se")).alias("z"))
 
 
+def against_first(scores: DataFrame, first: str, by: str = "run") -> DataFrame:
+    """Every other run against the first, over the same questions and by each metric: run, metric, n, diff, se, z."""
+    metrics = ("recall", "complete", "rr")
+    long = scores.select(by, "query_id", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("x")) for m in metrics])).alias("m")).select(by, "query_id", "m.*")
+    base = long.filter(F.col(by) == first).select("query_id", "metric", F.col("x").alias("b"))
+    d = F.col("x") - F.col("b")
+    n, se = F.count("*"), F.stddev_samp(d) / F.sqrt(F.count("*"))
+    out = long.filter(F.col(by) != first).join(base, ["query_id", "metric"]).groupBy(by, "metric").agg(n.alias("n"), F.avg(d).alias("diff"), se.alias("se"))
+    return out.select(by, "metric", "n", F.round("diff", 6).alias("diff"), F.round("se", 6).alias("se"), z_score(F.col("diff"), F.col("se")).alias("z"))
+
+
 def z_score(diff: Column, se: Column) -> Column:
     return F.when(se != 0, F.round(diff / se, 4))
 

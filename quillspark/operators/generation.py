@@ -103,7 +103,7 @@ class ScriptedClient:
 
     def complete(self, system: str, user: str) -> dict:
         words = user.split()
-        text = json.dumps({"answer": " ".join(words[-3:]) or "nothing", "citations": ["C1"] if "[C1]" in user else [], "answerable": "[C1]" in user})
+        text = json.dumps({"answer": " ".join(words[-3:]) or "nothing", "citations": ["C1"] if "[C1]" in user else [], "answerable": "[C1]" in user}, ensure_ascii=False)
         return {"output": text, "tokens_in": len(system.split()) + len(words), "tokens_out": len(text.split())}
 
 

@@ -53,6 +53,13 @@ def balanced(rows: DataFrame, types: DataFrame, id_col: str, type_col: str, seed
     return chosen.filter("_whole").unionByName(cut).select(*rows.columns)
 
 
+def with_status(rows: DataFrame, status: str) -> DataFrame:
+    """Rows of one status; an unknown one is an error."""
+    if status not in STATUSES:
+        raise ValueError(f"unknown status {status!r}")
+    return rows.filter(F.col("status") == status)
+
+
 def unknown_types(rows: DataFrame, types: DataFrame, type_col: str) -> DataFrame:
     """Types of rows that no group has; balancing should be refused while there are any."""
     return rows.select(F.col(type_col).alias("type")).distinct().join(types, "type", "left_anti")

@@ -464,6 +464,10 @@ SELECT o_orderkey, unnest(list_filter([CASE WHEN vt = 'other' THEN 'ck_variant_t
   CASE WHEN NOT guess AND ok IS NOT NULL AND ok <> (vt = 'correct') THEN 'ck_constructed_label_matches_type' END, CASE WHEN st = 'needs_human_review' AND ok IS NOT NULL THEN 'ck_review_has_no_label' END,
   CASE WHEN (st = 'discarded') <> reason THEN 'ck_discard_reason' END, CASE WHEN (st = 'discarded') = txt THEN 'ck_text_iff_kept' END, CASE WHEN st = 'labelled' AND ok IS NULL THEN 'ck_labelled' END], lambda x: x IS NOT NULL)) AS "constraint" FROM r""",
     "render_context": "SELECT conv_id, string_agg('[C' || r || '] (' || coalesce(role, '') || ') ' || coalesce(text, ''), chr(10) || chr(10) ORDER BY r) AS context FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations) GROUP BY conv_id",
+    "generate_answers": """WITH c AS (SELECT conv_id AS id, string_agg('[C' || r || '] (' || coalesce(role, '') || ') ' || coalesce(text, ''), chr(10) || chr(10) ORDER BY r) AS user FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations) GROUP BY conv_id),
+  w AS (SELECT *, regexp_extract_all(user, '[^\\s\\x0b\\x1c-\\x1f\\x{85}\\p{Z}]+') AS words FROM c),
+  a AS (SELECT *, '{"answer": ' || to_json(array_to_string(words[greatest(len(words) - 2, 1):], ' ')) || ', "citations": ["C1"], "answerable": true}' AS output FROM w)
+SELECT id, sha256('Answer from the passages.' || chr(0) || user) AS prompt_sha256, output, 'scripted' AS provider, 'scripted-1' AS model_requested, 'scripted-1' AS model_reported, 'scripted-1@' || repeat('0', 64) AS model_version, CAST(4 + len(words) AS BIGINT) AS tokens_in, CAST(len(string_split(output, ' ')) AS BIGINT) AS tokens_out FROM a""",
     "prompts": "SELECT item_id, 'Answer from the passages.' || chr(10) || chr(10) || 'Question: ' || text || chr(10) AS prompt FROM benchmark",
     "validate_eval_set": """WITH b AS (SELECT item_id, CAST(item_id - item_id % 2 AS VARCHAR) AS id FROM benchmark), p AS (
   SELECT 'document' AS kind, CAST(doc_id AS VARCHAR) AS id, 'empty text' AS problem FROM documents WHERE doc_id % 97 = 0

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import hashed_vector, tokens
-from quillspark.operators import bm25, chunking, dense, evaluate, fusion, sweep
+from quillspark.operators import bm25, chunking, dense, diagnostics, evaluate, fusion, sweep
 from quillspark.sources.tables import table
 
 K, CANDIDATES, TOP = 5, 100, 10
@@ -159,9 +159,7 @@ def similarity_matrix(spark, d):
 
 def gold_similarity(spark, d):
     v = vectors(spark, d)
-    asked = v.filter(F.col("chunk_id") % 50 == 0).select(F.col("chunk_id").alias("q"), F.col("vector").alias("x"), F.col("label").alias("ql"))
-    pairs = v.crossJoin(F.broadcast(asked)).filter("q <> chunk_id").select("q", (F.col("label") == F.col("ql")).alias("same"), dense.inner_product(F.col("x"), F.col("vector")).alias("s"))
-    return pairs.groupBy("q").agg(F.round(F.avg(F.when(F.col("same"), F.col("s"))), 6).alias("gold"), F.round(F.avg(F.when(~F.col("same"), F.col("s"))), 6).alias("others"))
+    return dense.mean_similarity(v, v.filter(F.col("chunk_id") % 50 == 0))
 
 
 def hashing_embedder(spark, d):
@@ -224,6 +222,20 @@ def eval_runs(spark, d):
     return evaluate.means(all_runs(spark, d), ["run"])
 
 
+def eval_pairs(spark, d):
+    """Each other run against dense search, by every metric."""
+    return evaluate.against_first(all_runs(spark, d), "dense")
+
+
+def answer_signs(spark, d):
+    """The first passage that BM25 finds, taken as an answer, beside the first two words of its question and its gold chunks."""
+    best = bm25_list(spark, d, 1).select("query_id", "chunk_id").join(corpus(spark, d).withColumnRenamed("text", "answer"), "chunk_id")
+    asked = questions(spark, d).select("query_id", F.substring_index("text", " ", 2).alias("reference"))
+    known = gold(spark, d).groupBy("query_id").agg(F.collect_list("chunk_id").alias("gold"))
+    shown = diagnostics.signs(asked.join(best, "query_id", "left").join(known, "query_id", "left").withColumn("cited", F.array_compact(F.array("chunk_id"))))
+    return shown.groupBy("reference_in_answer", "cites_gold").agg(F.count("*").alias("n"))
+
+
 def swept(spark, d, method):
     return sweep.swept(candidate_lists(spark, d), gold(spark, d), K, (method,)).drop("method")
 
@@ -261,7 +273,7 @@ QUERIES = {f.__name__: f for f in (
     bm25_topk, bm25_index_terms, bm25_index_stats, bm25_doc_lengths, bm25_postings, bm25_score_all, bm25_explain, bm25_b_sweep, bm25_b_paired,
     chunk_document, chunk_fixed_words, chunk_sentence_window, length_distribution, top5_length_ratio, gold_evidence, gold_overlap, gold_counts,
     dense_topk, norm_check, similarity_matrix, gold_similarity, hashing_embedder, rrf_fusion, hybrid_search, weighted_rrf, linear_fusion, minmax_scores,
-    per_query_scores, retrieval_metrics, paired_difference, eval_runs, fusion_sweep_curve, crossfit_choice, crossfit_heldout, repeated_crossfit, crossfit_spread, crossfit_alpha_histogram,
+    per_query_scores, retrieval_metrics, paired_difference, eval_runs, eval_pairs, answer_signs, fusion_sweep_curve, crossfit_choice, crossfit_heldout, repeated_crossfit, crossfit_spread, crossfit_alpha_histogram,
 )}
 
 # --- the same in SQL ----------------------------------------------------------
@@ -377,6 +389,9 @@ ORACLES = {
     "paired_difference": f"""{_ALL}, {_BRUN}, {_metrics('runs', K, 'run')} SELECT n, round(diff, 6) AS diff, round(se, 6) AS se, CASE WHEN se <> 0 THEN round(diff / se, 4) END AS z FROM (
   SELECT count(*) AS n, avg(o.rr - b.rr) AS diff, stddev_samp(o.rr - b.rr) / sqrt(count(*)) AS se FROM each b JOIN each o ON o.query_id = b.query_id AND o.run = 'hybrid' WHERE b.run = 'dense')""",
     "eval_runs": f"{_ALL}, {_BRUN}, {_metrics('runs', K, 'run')} SELECT run, {_MEANS} FROM each GROUP BY run",
+    "eval_pairs": f"""{_ALL}, {_BRUN}, {_metrics('runs', K, 'run')}, long AS (SELECT run, query_id, 'recall' AS metric, recall AS x FROM each UNION ALL SELECT run, query_id, 'complete', complete FROM each UNION ALL SELECT run, query_id, 'rr', rr FROM each)
+SELECT run, metric, n, round(diff, 6) AS diff, round(se, 6) AS se, CASE WHEN se <> 0 THEN round(diff / se, 4) END AS z FROM (
+  SELECT o.run, o.metric, count(*) AS n, avg(o.x - b.x) AS diff, stddev_samp(o.x - b.x) / sqrt(count(*)) AS se FROM long o JOIN long b ON b.run = 'dense' AND o.run <> 'dense' AND b.query_id = o.query_id AND b.metric = o.metric GROUP BY o.run, o.metric)""",
     "fusion_sweep_curve": f"{_SWEPT} SELECT method, alpha, {_MEANS} FROM each GROUP BY method, alpha",
     "crossfit_choice": f"{_SWEPT}, {_FOLDS}, {_CHOSEN} SELECT fold, alpha, round(mean, 6) AS mean FROM chosen",
     "crossfit_heldout": f"{_SWEPT}, {_FOLDS}, {_CHOSEN} SELECT query_id, folds.fold, each.alpha, recall, complete, rr FROM each JOIN folds USING (query_id) JOIN chosen c ON c.fold = 1 - folds.fold AND c.alpha = each.alpha WHERE method = 'rrf'",

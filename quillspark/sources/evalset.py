@@ -24,6 +24,16 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return parsed.select("line_number", "row.*").withColumn("readable", F.col("_bad").isNull()).drop("_bad")
 
 
+def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of files that are one JSON array or object each, strictly: a malformed file is an error."""
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+
+
+def write_report(metrics: DataFrame, path: str) -> None:
+    """A small table of metrics as one JSON file; what it holds is bounded by the runs compared."""
+    metrics.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
     """One JSON object a line with sorted keys; text is not escaped to ASCII."""
     df.select(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("value")).write.text(path)

@@ -255,6 +255,47 @@ def test_errors_where_results_would_mislead(spark):
         evaluate.difference(spark.createDataFrame([(0.5, 1.0)], "b double, o double")).collect()
 
 
+def test_json_files_and_reports(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"id": "1",\n "question": "q"}, {"id": "2"}]', encoding="utf-8")
+    assert sorted((r["id"], r["question"]) for r in evalset.read_json(spark, str(tmp_path / "a.json"), "id string, question string").collect()) == [("1", "q"), ("2", None)]
+    (tmp_path / "b.json").write_text("[{]", encoding="utf-8")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        evalset.read_json(spark, str(tmp_path / "b.json"), "id string").collect()
+    evalset.write_report(spark.createDataFrame([("dense", 0.5, None)], "run string, rr double, z double"), str(tmp_path / "r"))
+    (part,) = (tmp_path / "r").glob("part-*.json")
+    assert json.loads(part.read_text()) == {"run": "dense", "rr": 0.5, "z": None}
+
+
+def test_chunk_configs():
+    from quillspark.operators.chunking import Config
+
+    assert Config.parse('{"strategy": "sentence_window", "sentences_per_chunk": 2}') == Config("sentence_window", 2, 0)
+    assert Config.parse({"strategy": "fixed_words", "words_per_chunk": 8, "overlap": 2}) == Config("fixed_words", 8, 2)
+    for bad in ({}, {"strategy": "document", "overlap": 1}, {"strategy": "fixed_words", "sentences_per_chunk": 1}, {"strategy": "odd"}, {"strategy": "fixed_words", "words_per_chunk": 2, "overlap": 2}):
+        with pytest.raises(ValueError):
+            Config.parse(bad)
+
+
+def test_status_and_signs(spark):
+    from quillspark.operators import diagnostics
+
+    rows = spark.createDataFrame([(1, "labelled"), (2, "discarded")], "id long, status string")
+    assert [r["id"] for r in review.with_status(rows, "labelled").collect()] == [1]
+    with pytest.raises(ValueError):
+        review.with_status(rows, "odd")
+    shown = diagnostics.signs(spark.createDataFrame([("Oslo", "It is in Oslo.", [1], [1, 2]), ("Oslo", None, [3], None)], "reference string, answer string, cited array<long>, gold array<long>"))
+    assert [(r["reference_in_answer"], r["cites_gold"]) for r in shown.collect()] == [(True, True), (False, False)]
+
+
+def test_signs_make_no_labels():
+    """Only the report may import the signs."""
+    from pathlib import Path
+
+    root = Path(variants.__file__).parents[1]
+    users = {p.name for p in root.rglob("*.py") if "diagnostics" in p.read_text(encoding="utf-8") and p.name != "diagnostics.py"}
+    assert users == {"retrieval.py"}
+
+
 def test_validation_names_every_problem(spark):
     docs = spark.createDataFrame([("1", "t", "abc", [(0, 2), (1, 3)], None), ("1", "t", "abc", None, None), ("", "t", "", None, None)], evalset.DOCUMENT)
     questions = spark.createDataFrame([("q", "?", "a", [("1", 0, 9)], None), ("r", "", "", [], None), ("s", "?", "a", [("9", 2, 2)], None)], evalset.QUESTION)
