@@ -104,11 +104,23 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> tuple[Column, Col
     return F.xxhash64(id_col, text_col), F.xxhash64(F.lit(1), id_col, text_col)
 
 
+#: The setting by which Spark removes an execution's shuffle files when it ends, and not whenever the driver collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write the rows to the shared folder and read them back."""
+    """Cut the lineage: write the rows to the shared folder and read them back; what was shuffled to make them is removed."""
     spark = df.sparkSession
     path = shared_folder(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
