@@ -49,7 +49,6 @@ class Bpe:
         self.single = [ranks[bytes([b])] for b in range(256)]
         # every pair of tokens whose bytes together are a token: at most as many as the vocabulary has bytes
         pairs = {(ranks[t[:k]], ranks[t[k:]]): r for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
-        self.pairs = pairs
         codes = np.array([(a << 32) | b for a, b in pairs] or [-1], dtype=np.int64)
         order = np.argsort(codes)
         self.codes, self.results = codes[order], np.array(list(pairs.values()) or [0], dtype=np.int64)[order]
@@ -115,7 +114,7 @@ class Bpe:
                 at = at[(place - np.maximum.accumulate(np.where(chain, 0, place))) % 2 == 0]
                 if now in self.delicate:
                     prev, beyond = before[at], after[after[at]]
-                    low = (self.ranks_at(ids[prev] << 32 | now) < now) & (prev >= 0) | (self.ranks_at(now << 32 | ids[beyond]) < now) & (beyond >= 0) | (self.pairs.get((now, now), now) < now)
+                    low = (self.ranks_at(ids[prev] << 32 | now) < now) & (prev >= 0) | (self.ranks_at(now << 32 | ids[beyond]) < now) & (beyond >= 0) | (self.ranks_at(np.array([now << 32 | now]))[0] < now)
                     # per word up to the first merge that may make a lower rank
                     stop = np.full(len(words), n)
                     np.minimum.at(stop, word[at[low]], at[low])
