@@ -6,9 +6,17 @@ meant, because Java's own word class is ASCII only. Spans count code points.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import hashlib
+import re
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.shipping import ship_package
+
 #: Runs of word characters.
 WORD = r"[\p{L}\p{N}_]+"
 #: Bounds of a whole word.
@@ -37,6 +45,40 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
+def lowered(text: Column) -> Column:
+    """The text whose words :func:`word_finder` finds."""
+    return F.lower(F.coalesce(text, F.lit("")))
+
+
+def word_patterns(spark: SparkSession) -> tuple[str, str]:
+    """Python patterns of the first character from which on Python's word class is not that of ``WORD``, and of ``WORD`` itself.
+
+    Both classes hold letters, digits and the underscore, but of different Unicode versions. So the class is read
+    from the engine, once for each Spark application.
+    """
+    sc = spark.sparkContext
+    if not hasattr(sc, "_quillspark_words"):
+        every = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+        found = spark.createDataFrame([("".join(every),)], "s string").select(F.regexp_extract_all("s", F.lit(WORD), F.lit(0)).alias("runs")).first()["runs"]
+        held = set("".join(found))
+        odd = next((c for c in every if (re.match(r"\w", c) is not None) != (c in held)), None)
+        ranges = "".join(f"{re.escape(a)}-{re.escape(b)}" for run in found for a, b in _ranges(run))
+        sc._quillspark_words = (f"[{re.escape(odd)}-\U0010ffff]" if odd else "(?!)", f"[{ranges}]+")
+    return sc._quillspark_words
+
+
+def _ranges(run: str) -> list[tuple[str, str]]:
+    """First and last of consecutive characters; a run may span the surrogates, which no text holds."""
+    cuts = [i for i in range(1, len(run)) if ord(run[i]) != ord(run[i - 1]) + 1]
+    return [(run[a], run[z - 1]) for a, z in zip([0, *cuts], [*cuts, len(run)], strict=True)]
+
+
+def word_finder(patterns: tuple[str, str]) -> Callable[[str], list[str]]:
+    """A Python function that gives the tokens of a text that :func:`lowered` has lowered, the same as :func:`tokens`."""
+    plain, high, exact = re.compile(r"\w+").findall, re.compile(patterns[0]).search, re.compile(patterns[1]).findall
+    return lambda text: exact(text) if high(text) else plain(text)
+
+
 def normalize_answer(text: Column) -> Column:
     """Lower case, no ASCII punctuation, no articles, single spaces."""
     bare = F.regexp_replace(F.lower(text), PUNCTUATION, "")
@@ -109,3 +151,36 @@ def hashed_vector(token_list: Column, dim: int = 64) -> Column:
     measured = F.transform(counts, lambda c: F.struct(c.alias("c"), F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, y: a + y * y)).alias("n")))
     unit = F.transform(measured, lambda s: F.transform(s["c"], lambda x: x / s["n"]))
     return F.when(F.size(token_list) == 0, F.transform(axes, lambda b: (b == 0).cast("double"))).otherwise(F.get(unit, F.lit(0)))
+
+
+def hashed_vectors(rows: DataFrame, key: str, dim: int = 64) -> DataFrame:
+    """The key (long) of each row and ``vector``, what :func:`hashed_vector` gives for the tokens of its text, by a digest for each distinct token of a task."""
+    patterns = word_patterns(ship_package(rows.sparkSession))
+
+    def run(batches):
+        words, axes = word_finder(patterns), Axes(dim)
+        for batch in batches:
+            counts = np.zeros((batch.num_rows, dim))
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                counts[i] = np.bincount(np.frombuffer(bytes(map(axes.__getitem__, words(text))), np.uint8), minlength=dim)
+            empty = ~counts.any(axis=1)
+            counts[empty, 0] = 1.0
+            unit = counts / np.sqrt((counts * counts).sum(axis=1))[:, None]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(np.arange(0, unit.size + 1, dim, dtype=np.int32), unit.reshape(-1))], names=[key, "vector"])
+
+    return rows.select(F.col(key).cast("long"), lowered(F.col("text"))).mapInArrow(run, f"{key} long, vector array<double>")
+
+
+class Axes(dict):
+    """The axis of each token, remembered up to a number of tokens."""
+
+    LIMIT = 500_000
+
+    def __init__(self, dim: int):
+        self.dim = dim
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= self.LIMIT:
+            self.clear()
+        self[token] = axis = hashlib.md5(token.encode()).digest()[-1] % self.dim
+        return axis

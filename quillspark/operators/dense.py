@@ -1,7 +1,7 @@
 """Exact dense search by inner product, and checks of vectors.
 
 Queries travel to the data: their matrix is broadcast while it is small enough, each
-Arrow batch gives its own best k of every query, and one window merges these.
+task gives its own best k of every query, and one window merges these.
 More queries are searched in blocks, each a broadcast of its own.
 """
 
@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.operators.ranking import KEPT, Best, record_batch
 from quillspark.shipping import ship_package
 
 #: Values (doubles) of a broadcast block of queries.
@@ -38,8 +39,8 @@ def bad_norms(vectors: DataFrame, vector_col: str = "embedding", tolerance: floa
     return vectors.filter(F.coalesce(F.abs(norm(F.col(vector_col)) - 1) >= tolerance, F.lit(True)))
 
 
-def _blocks(queries: list) -> list[list]:
-    size = max(1, BLOCK_VALUES // max(1, len(queries[0][1]) if queries else 1))
+def _blocks(queries: list, k: int = 1) -> list[list]:
+    size = max(1, min(BLOCK_VALUES // max(1, len(queries[0][1]) if queries else 1), KEPT // k))
     return [queries[i : i + size] for i in range(0, len(queries), size)]
 
 
@@ -52,7 +53,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_
     schema = "query_id long, chunk_id long, score double"
     parts = []
     asked = [(r["query_id"], r["vector"]) for r in queries.select("query_id", "vector").toLocalIterator()]
-    for block in _blocks(asked):
+    for block in _blocks(asked, k):
         shared = spark.sparkContext.broadcast((np.array([q for q, _ in block], dtype=np.int64), np.array([v for _, v in block], dtype=np.float64)))
         parts.append(vectors.select(F.col(id_col).cast("long").alias("chunk_id"), F.col(vector_col).cast("array<double>").alias("vector")).filter("vector is not null").mapInArrow(_searcher(shared, k), schema))
     if not parts:
@@ -67,27 +68,17 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_
 def _searcher(shared, k: int):
     def run(batches):
         ids, matrix = shared.value
+        best = Best(len(ids), k)
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
-            chunk = np.asarray(batch.column(0))
-            order = np.argsort(chunk, kind="stable")
-            chunk, vectors = chunk[order], np.asarray(batch.column(1).flatten()).reshape(n, -1)[order]
+            chunk, vectors = np.asarray(batch.column(0)), np.asarray(batch.column(1).flatten()).reshape(n, -1)
             step = max(1, SCORES // n)
             for at in range(0, len(ids), step):
-                found = np.round(matrix[at : at + step] @ vectors.T, DECIMALS)
-                if n > k:  # what is below the k-th score cannot be among the best
-                    least = np.partition(found, n - k, axis=1)[:, n - k]
-                    q, place = np.nonzero(found >= least[:, None])
-                else:
-                    q, place = np.divmod(np.arange(found.size), n)
-                score = found[q, place]
-                by_score = np.lexsort((place, -score, q))  # places are in order of chunk ids
-                q, place, score = q[by_score], place[by_score], score[by_score]
-                rank = np.arange(len(q)) - np.searchsorted(q, q)
-                best = rank < k
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at + q[best]]), pa.array(chunk[place[best]]), pa.array(score[best])], names=["query_id", "chunk_id", "score"])
+                best.add(at, np.round(matrix[at : at + step] @ vectors.T, DECIMALS), chunk)
+        group, chunk, score = best.rows()
+        yield record_batch({"query_id": ids[group], "chunk_id": chunk, "score": score})
 
     return run
 

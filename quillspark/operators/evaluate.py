@@ -13,6 +13,8 @@ from quillspark.shipping import ship_package
 
 #: Inner tokens by which items find the texts that may contain them.
 GRAM = 4
+#: Bytes of all items up to which they are searched together by one automaton.
+AUTOMATON_BYTES = 1 << 20
 #: Bytes of the short items that are searched at a time.
 SHORT_BYTES = 8 << 20
 
@@ -20,12 +22,15 @@ SHORT_BYTES = 8 << 20
 def exact_evidence(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Where an item's whole text stands in a document: query_id, doc_id, char_start, char_end (first place).
 
-    The first and the last token of an item may be parts of a document's tokens, those between are
-    whole ones. So items meet documents by their first inner tokens, and no pair is compared that does not share
-    them; items without an inner token are searched together in one pass over each text. Null and empty items are in
-    no document.
+    Items of few bytes in all are searched together by one automaton, in one pass over each text, and nothing but
+    what is found leaves a task. More items meet documents by their first inner tokens (the first and the last token of an item may be
+    parts of a document's tokens, those between are whole ones), so no pair is compared that does not share them; those
+    without an inner token go by automatons too. Null and empty items are in no document.
     """
     texts = docs.select("doc_id", "text").filter("text is not null")
+    named = items.select(F.col("item_id").alias("query_id"), F.col("text").alias("item")).filter("item <> ''")
+    if (named.agg(F.sum(F.octet_length("item"))).first()[0] or 0) <= AUTOMATON_BYTES:
+        return reduce(DataFrame.unionByName, _search_short(texts, named))
     asked = items.select(F.col("item_id").alias("query_id"), F.col("text").alias("item"), tokens(F.col("text")).alias("q")).filter("item <> ''")
     asked = asked.withColumn("inner", F.slice("q", F.lit(2), F.greatest(F.size("q") - 2, F.lit(0)))).withColumn("size", F.least(F.size("inner"), F.lit(GRAM)))
     hashed = F.when(F.col("size") == GRAM, F.xxhash64(*[F.get("inner", F.lit(i)) for i in range(GRAM)])).otherwise(F.xxhash64(F.get("inner", F.lit(0))))
@@ -110,12 +115,16 @@ def per_query(rankings: DataFrame, gold: DataFrame, k: int, keys: DataFrame | No
     table of the further keys of rankings, each row of which is scored for every question.
     """
     by = keys.columns if keys is not None else []
-    total = gold.groupBy("query_id").agg(F.count("*").alias("n_gold"))
-    hits = rankings.filter(F.col("rank") <= k).join(gold, ["query_id", "chunk_id"], "left_semi").groupBy(*by, "query_id").agg(F.count("*").alias("n"), F.min("rank").alias("first"))
-    every = total.crossJoin(F.broadcast(keys)) if by else total
-    joined = every.join(hits, [*by, "query_id"], "left")
-    n = F.coalesce("n", F.lit(0))
-    return joined.select(*by, "query_id", F.round(n / F.col("n_gold"), 9).alias("recall"), (n == F.col("n_gold")).cast("double").alias("complete"), F.round(F.coalesce(F.lit(1.0) / F.col("first"), F.lit(0.0)), 9).alias("rr"))
+    placed = rankings.filter(F.col("rank") <= k).groupBy("query_id", "chunk_id").agg(F.collect_list(F.struct(*by, "rank")).alias("places"))
+    # gold may be a pass over the corpus, so it is used once
+    each = gold.join(placed, ["query_id", "chunk_id"], "left").groupBy("query_id").agg(F.count("*").alias("n_gold"), F.flatten(F.collect_list("places")).alias("places"))
+    own = F.col("places")
+    if by:
+        each = each.crossJoin(F.broadcast(keys))
+        own = F.filter("places", lambda p: reduce(Column.__and__, [p[c] == F.col(c) for c in by]))
+    joined = each.select(*by, "query_id", "n_gold", F.transform(own, lambda p: p["rank"]).alias("ranks"))
+    n = F.size("ranks")
+    return joined.select(*by, "query_id", F.round(n / F.col("n_gold"), 9).alias("recall"), (n == F.col("n_gold")).cast("double").alias("complete"), F.round(F.coalesce(F.lit(1.0) / F.array_min("ranks"), F.lit(0.0)), 9).alias("rr"))
 
 
 def means(scores: DataFrame, by: list[str] | None = None) -> DataFrame:

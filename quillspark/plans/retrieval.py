@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import hashed_vector, tokens
+from quillspark.functions.text import hashed_vectors
 from quillspark.operators import bm25, chunking, dense, diagnostics, evaluate, fusion, sweep
 from quillspark.sources.tables import table
 
@@ -23,11 +23,11 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_list(spark: SparkSession, d: str, k: int) -> DataFrame:
-    return bm25.top_k(bm25.score_all(bm25.tokenised(corpus(spark, d)), questions(spark, d)), k)
+    return bm25.search(corpus(spark, d), questions(spark, d), k)
 
 
 def hashed(df: DataFrame, key: str) -> DataFrame:
-    return df.select(F.col(key), hashed_vector(tokens(F.col("text"))).alias("vector"))
+    return hashed_vectors(df, key)
 
 
 def dense_list(spark: SparkSession, d: str, k: int) -> DataFrame:
@@ -67,27 +67,30 @@ def bm25_topk(spark, d):
 
 
 def bm25_score_all(spark, d):
-    return bm25.score_all(bm25.tokenised(corpus(spark, d)), questions(spark, d))
+    return bm25.score_all(corpus(spark, d), questions(spark, d))
 
 
 def bm25_explain(spark, d):
-    found = bm25_list(spark, d, 1).select("query_id", "chunk_id")
-    return bm25.explain(bm25.tokenised(corpus(spark, d)), questions(spark, d), found)
+    found = bm25_list(spark, d, 1).select("query_id", "chunk_id").persist()
+    return bm25.explain(corpus(spark, d), questions(spark, d), found)
 
 
 def b_grid(spark):
     return spark.createDataFrame([(b,) for b in GRID], "b double")
 
 
+def by_b(spark, d):
+    """Metrics of every question at each b of the grid, from one pass of scoring."""
+    best = bm25.search(corpus(spark, d), questions(spark, d), CANDIDATES, b=GRID)
+    return evaluate.per_query(best, gold(spark, d), CANDIDATES, b_grid(spark))
+
+
 def bm25_b_sweep(spark, d):
-    scores = bm25.score_all(bm25.tokenised(corpus(spark, d)), questions(spark, d), b=b_grid(spark))
-    best = bm25.top_k(scores, CANDIDATES, by=("b", "query_id"))
-    return evaluate.means(evaluate.per_query(best, gold(spark, d), CANDIDATES, b_grid(spark)), ["b"])
+    return evaluate.means(by_b(spark, d), ["b"])
 
 
 def bm25_b_paired(spark, d):
-    scores = bm25.score_all(bm25.tokenised(corpus(spark, d)), questions(spark, d), b=b_grid(spark))
-    each = evaluate.per_query(bm25.top_k(scores, CANDIDATES, by=("b", "query_id")), gold(spark, d), CANDIDATES, b_grid(spark))
+    each = by_b(spark, d).persist()
     joined = each.alias("o").join(each.filter(f"b = {BASELINE}D").alias("p"), "query_id").select(F.col("o.b").alias("b"), (F.col("o.rr") - F.col("p.rr")).alias("x"))
     return joined.groupBy("b").agg(F.count("*").alias("n"), F.round(F.avg("x"), 6).alias("diff"), F.round(F.stddev_samp("x") / F.sqrt(F.count("*")), 6).alias("se"))
 
