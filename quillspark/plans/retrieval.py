@@ -117,9 +117,9 @@ def length_distribution(spark, d):
 
 
 def top5_length_ratio(spark, d):
-    n = bm25.doc_lengths(bm25.tokenised(corpus(spark, d)))
-    best = bm25_list(spark, d, K).join(n, "chunk_id")
-    mean = n.agg(F.avg("length").alias("avgdl"))
+    best = corpus(spark, d).join(F.broadcast(bm25_list(spark, d, K).select("chunk_id")), "chunk_id")
+    best = bm25.doc_lengths(bm25.tokenised(best))
+    mean = bm25.doc_lengths(bm25.tokenised(corpus(spark, d))).agg(F.avg("length").alias("avgdl"))
     return best.crossJoin(F.broadcast(mean)).agg(F.round(F.avg(F.col("length") / F.col("avgdl")), 6).alias("ratio"))
 
 
@@ -232,7 +232,7 @@ def eval_pairs(spark, d):
 
 def answer_signs(spark, d):
     """The first passage that BM25 finds, taken as an answer, beside the first two words of its question and its gold chunks."""
-    best = bm25_list(spark, d, 1).select("query_id", "chunk_id").join(corpus(spark, d).withColumnRenamed("text", "answer"), "chunk_id")
+    best = corpus(spark, d).withColumnRenamed("text", "answer").join(F.broadcast(bm25_list(spark, d, 1).select("query_id", "chunk_id")), "chunk_id")
     asked = questions(spark, d).select("query_id", F.substring_index("text", " ", 2).alias("reference"))
     known = gold(spark, d).groupBy("query_id").agg(F.collect_list("chunk_id").alias("gold"))
     shown = diagnostics.signs(asked.join(best, "query_id", "left").join(known, "query_id", "left").withColumn("cited", F.array_compact(F.array("chunk_id"))))
