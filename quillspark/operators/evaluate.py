@@ -149,7 +149,7 @@ def difference(pairs: DataFrame) -> DataFrame:
 def against_first(scores: DataFrame, first: str, by: str = "run") -> DataFrame:
     """Every other run against the first, over the same questions and by each metric: run, metric, n, diff, se, z."""
     metrics = ("recall", "complete", "rr")
-    long = scores.select(by, "query_id", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("x")) for m in metrics])).alias("m")).select(by, "query_id", "m.*")
+    long = scores.persist().select(by, "query_id", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("x")) for m in metrics])).alias("m")).select(by, "query_id", "m.*")
     base = long.filter(F.col(by) == first).select("query_id", "metric", F.col("x").alias("b"))
     d = F.col("x") - F.col("b")
     n, se = F.count("*"), F.stddev_samp(d) / F.sqrt(F.count("*"))

@@ -1,4 +1,8 @@
-"""Fusion weight sweeps: scores at every weight, choice on one fold, scoring on the other."""
+"""Fusion weight sweeps: scores at every weight, choice on one fold, scoring on the other.
+
+Cross-fits read their scores more than once, so these (a row for each question and weight) are persisted: the retrieval
+behind them runs once.
+"""
 
 from __future__ import annotations
 
@@ -56,7 +60,7 @@ def choose(scores: DataFrame, metric: str, by: list[str]) -> DataFrame:
 
 def crossfit(scores: DataFrame, metric: str = "rr") -> tuple[DataFrame, DataFrame]:
     """The weight that each fold chooses, and every question scored by the weight of the other fold."""
-    folded = with_fold(scores)
+    folded = with_fold(scores.persist())
     chosen = choose(folded, metric, ["fold"])
     other = chosen.select((1 - F.col("fold")).alias("fold"), "alpha")
     return chosen, folded.join(other, ["fold", "alpha"]).select("query_id", "fold", "alpha", "recall", "complete", "rr")
@@ -68,7 +72,7 @@ def repeated_crossfit(scores: DataFrame, metric: str = "rr", repeats: int = 200,
     The halves are those of a Fisher-Yates shuffle driven by Python's own generator,
     so they are dealt on the driver: a list of question ids by repeat.
     """
-    spark = scores.sparkSession
+    spark, scores = scores.sparkSession, scores.persist()
     ids = [r["query_id"] for r in scores.select("query_id").distinct().orderBy("query_id").collect()]
     rows = []
     for r in range(repeats):
