@@ -39,7 +39,8 @@ def bad_norms(vectors: DataFrame, vector_col: str = "embedding", tolerance: floa
     return vectors.filter(F.coalesce(F.abs(norm(F.col(vector_col)) - 1) >= tolerance, F.lit(True)))
 
 
-def _blocks(queries: list, k: int = 1) -> list[list]:
+def blocks(queries: list, k: int = 1) -> list[list]:
+    """Queries (id, vector) in blocks whose vectors, and whose best k, are bounded."""
     size = max(1, min(BLOCK_VALUES // max(1, len(queries[0][1]) if queries else 1), KEPT // k))
     return [queries[i : i + size] for i in range(0, len(queries), size)]
 
@@ -53,7 +54,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_
     schema = "query_id long, chunk_id long, score double"
     parts = []
     asked = [(r["query_id"], r["vector"]) for r in queries.select("query_id", "vector").toLocalIterator()]
-    for block in _blocks(asked, k):
+    for block in blocks(asked, k):
         shared = spark.sparkContext.broadcast((np.array([q for q, _ in block], dtype=np.int64), np.array([v for _, v in block], dtype=np.float64)))
         parts.append(vectors.select(F.col(id_col).cast("long").alias("chunk_id"), F.col(vector_col).cast("array<double>").alias("vector")).filter("vector is not null").mapInArrow(_searcher(shared, k), schema))
     if not parts:
@@ -112,7 +113,7 @@ def mean_similarity(vectors: DataFrame, queries: DataFrame) -> DataFrame:
         return run
 
     parts = []
-    for block in _blocks(asked):
+    for block in blocks(asked):
         shared = spark.sparkContext.broadcast((np.array([q for q, _, _ in block], dtype=np.int64), np.array([v for _, v, _ in block], dtype=np.float64), np.array([None if v is None else str(v) for _, _, v in block], dtype=object)))
         parts.append(rows.mapInArrow(summer(shared), schema))
     every = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import hashed_vectors
-from quillspark.operators import bm25, chunking, dense, diagnostics, evaluate, fusion, sweep
+from quillspark.operators import bm25, chunking, dense, diagnostics, evaluate, fusion, hybrid, sweep
 from quillspark.sources.tables import table
 
 K, CANDIDATES, TOP = 5, 100, 10
@@ -30,12 +30,8 @@ def hashed(df: DataFrame, key: str) -> DataFrame:
     return hashed_vectors(df, key)
 
 
-def dense_list(spark: SparkSession, d: str, k: int) -> DataFrame:
-    return dense.search(hashed(corpus(spark, d), "chunk_id"), hashed(questions(spark, d), "query_id"), k)
-
-
 def candidate_lists(spark: SparkSession, d: str) -> DataFrame:
-    return fusion.candidates(dense_list(spark, d, CANDIDATES), bm25_list(spark, d, CANDIDATES))
+    return hybrid.candidates(corpus(spark, d), questions(spark, d), CANDIDATES)
 
 
 def gold(spark: SparkSession, d: str) -> DataFrame:
