@@ -66,3 +66,9 @@ def test_both_lists_come_from_one_read(spark, name):
     """Scans of the corpus after the statistics: one for both lists, and one for gold where there is gold."""
     plan = retrieval.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"^.*Relation \[doc_id#", plan, re.M)) == FUSED[name]
+
+
+def test_runs_that_are_paired_come_from_one_read(spark):
+    """What eval_pairs persists reads the corpus once for both lists and once for gold."""
+    plan = retrieval.all_runs(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"^.*Relation \[doc_id#", plan, re.M)) == 2
