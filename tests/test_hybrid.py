@@ -55,6 +55,7 @@ def test_candidates_of_nothing(spark, chunks, queries):
 
 
 FUSED = {
+    "eval_runs": 2,
     "rrf_fusion": 1,
     "hybrid_search": 1,
     "paired_difference": 2,
