@@ -55,6 +55,7 @@ def test_candidates_of_nothing(spark, chunks, queries):
 
 
 FUSED = {
+    "minmax_scores": 1,
     "linear_fusion": 1,
     "weighted_rrf": 1,
     "eval_runs": 2,
