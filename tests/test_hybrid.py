@@ -55,6 +55,7 @@ def test_candidates_of_nothing(spark, chunks, queries):
 
 
 FUSED = {
+    "fusion_sweep_curve": 2,
     "minmax_scores": 1,
     "linear_fusion": 1,
     "weighted_rrf": 1,
