@@ -67,8 +67,10 @@ def bm25_score_all(spark, d):
 
 
 def bm25_explain(spark, d):
-    found = bm25_list(spark, d, 1).select("query_id", "chunk_id").persist()
-    return bm25.explain(corpus(spark, d), questions(spark, d), found)
+    chunks, asked = corpus(spark, d), questions(spark, d)
+    known = bm25.known_of(chunks, bm25.asked_terms(asked))
+    found = bm25.search(chunks, asked, 1, known=known).select("query_id", "chunk_id").persist()
+    return bm25.explain(chunks, asked, found, known)
 
 
 def b_grid(spark):

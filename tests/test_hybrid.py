@@ -77,3 +77,11 @@ def test_runs_that_are_paired_come_from_one_read(spark):
     """What eval_pairs persists reads the corpus once for both lists and once for gold."""
     plan = retrieval.all_runs(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"^.*Relation \[doc_id#", plan, re.M)) == 2
+
+
+@pytest.mark.parametrize("name", ["bm25_explain"])
+def test_statistics_are_counted_once(spark, name, monkeypatch):
+    counted, count = [], bm25.asked_statistics
+    monkeypatch.setattr(bm25, "asked_statistics", lambda *a, **b: counted.append(a) or count(*a, **b))
+    retrieval.QUERIES[name](spark, DATA).count()
+    assert len(counted) == 1
