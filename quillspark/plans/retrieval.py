@@ -115,10 +115,10 @@ def length_distribution(spark, d):
 
 
 def top5_length_ratio(spark, d):
-    best = corpus(spark, d).join(F.broadcast(bm25_list(spark, d, K).select("chunk_id")), "chunk_id")
-    best = bm25.doc_lengths(bm25.tokenised(best))
-    mean = bm25.doc_lengths(bm25.tokenised(corpus(spark, d))).agg(F.avg("length").alias("avgdl"))
-    return best.crossJoin(F.broadcast(mean)).agg(F.round(F.avg(F.col("length") / F.col("avgdl")), 6).alias("ratio"))
+    chunks, asked = corpus(spark, d), questions(spark, d)
+    known = bm25.known_of(chunks, bm25.asked_terms(asked))
+    best = chunks.join(F.broadcast(bm25.search(chunks, asked, K, known=known).select("chunk_id")), "chunk_id")
+    return bm25.doc_lengths(bm25.tokenised(best)).agg(F.round(F.avg(F.col("length") / F.lit(known.avgdl)), 6).alias("ratio"))
 
 
 def gold_evidence(spark, d):

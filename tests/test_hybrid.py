@@ -85,3 +85,12 @@ def test_statistics_are_counted_once(spark, name, monkeypatch):
     monkeypatch.setattr(bm25, "asked_statistics", lambda *a, **b: counted.append(a) or count(*a, **b))
     retrieval.QUERIES[name](spark, DATA).count()
     assert len(counted) == 1
+
+
+def test_length_ratio_counts_no_corpus_lengths_again(spark, monkeypatch):
+    """Only the chunks that were found are cut into tokens for their lengths."""
+    cut, tokenised = [], bm25.tokenised
+    monkeypatch.setattr(bm25, "tokenised", lambda chunks, *a: cut.append(chunks) or tokenised(chunks, *a))
+    assert retrieval.top5_length_ratio(spark, DATA).first()["ratio"] > 0
+    assert [c.select("chunk_id").distinct().count() < retrieval.corpus(spark, DATA).count() for c in cut] == [True]
+    assert all("Join" in c._jdf.queryExecution().optimizedPlan().toString() for c in cut)
