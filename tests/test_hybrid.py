@@ -119,6 +119,7 @@ def test_cut_rows_of_one_search_are_held(spark, chunks, queries):
 ONE_PASS = [
     "hybrid_search",
     "rrf_fusion",
+    "eval_pairs",
 ]
 
 
