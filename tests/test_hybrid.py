@@ -120,6 +120,7 @@ ONE_PASS = [
     "hybrid_search",
     "rrf_fusion",
     "eval_pairs",
+    "eval_runs",
 ]
 
 
