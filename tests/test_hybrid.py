@@ -121,6 +121,7 @@ ONE_PASS = [
     "rrf_fusion",
     "eval_pairs",
     "eval_runs",
+    "weighted_rrf",
 ]
 
 
