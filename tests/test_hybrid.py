@@ -122,6 +122,7 @@ ONE_PASS = [
     "eval_pairs",
     "eval_runs",
     "weighted_rrf",
+    "linear_fusion",
 ]
 
 
