@@ -123,6 +123,7 @@ ONE_PASS = [
     "eval_runs",
     "weighted_rrf",
     "linear_fusion",
+    "minmax_scores",
 ]
 
 
