@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillspark.functions import text as T
@@ -141,3 +142,38 @@ def test_corpus_is_read_once(spark, name, monkeypatch):
     monkeypatch.setattr(retrieval, "corpus", lambda s, d: corpus(s, d).mapInArrow(counting, "chunk_id long, text string"))
     assert retrieval.QUERIES[name](spark, DATA).collect()
     assert read.value == corpus(spark, DATA).count()
+
+
+def test_each_distinct_token_of_a_slice_is_looked_up_once(chunks, monkeypatch):
+    """The cut of the step, run here: repeats of a token cost no look-up of their own."""
+    looked, held = [], {}
+
+    class Counted(hybrid.Seen):
+        def __getitem__(self, token):
+            looked.append(token)
+            return super().__getitem__(token)
+
+    monkeypatch.setattr(hybrid, "Seen", Counted)
+    monkeypatch.setattr(type(chunks), "mapInArrow", lambda self, run, schema: held.update(run=run) or self)
+    hybrid._cut(chunks, ["cat"], 64)
+    texts = ["cat cat dog", "", "cat"]
+    rows = pa.Table.from_batches(held["run"]([pa.RecordBatch.from_pydict({"chunk_id": [1, 2, 3], "text": texts})])).to_pylist()
+    assert sorted(looked) == ["cat", "dog"]
+    assert [(r["doc_id"], r["length"], len(r["asked"])) for r in rows if r["doc_id"]] == [(1, 3, 2), (2, 0, 0), (3, 1, 1)]
+    assert {(r["term"], r["df"]) for r in rows if r["term"]} == {("cat", 2), ("dog", 1)}
+
+
+ODD = ["", "cat", " ", "é", "é1 x_y", "a\U00010400b ǅ٣٤", "日本 語_3", "x", "x", "\U0001d7ff|\u0378|\U0010ffff", "a\u0301b", "\0a\0", "ends ñ", "ñ starts", "½ ² \u200b_"]
+
+
+def test_words_of_bytes_are_those_of_the_engine(spark):
+    patterns = T.word_patterns(spark)
+    table, words = T.word_table(patterns), T.word_finder(patterns)
+    draw = np.random.default_rng(3)
+    texts = [*ODD, *("".join(draw.choice(list("ab_ .-é日\U00010400\u0301"), draw.integers(0, 12))) for _ in range(300)), chr(0x24F) * 3]
+    expected = [r["t"] for r in spark.createDataFrame(list(enumerate(texts)), "i int, s string").repartition(1).sortWithinPartitions("i").select(T.tokens(T.F.col("s")).alias("t")).collect()]
+    lowered = [t.lower() for t in texts]
+    for column, wanted in ((pa.array(lowered), expected), (pa.array(lowered)[5:9], expected[5:9]), (pa.array([], pa.string()), [])):
+        found, sizes = T.words_of(column, table)
+        assert found.to_pylist() == [t for row in wanted for t in row] == [t for x in column.to_pylist() for t in words(x)]
+        assert sizes.tolist() == [len(row) for row in wanted]
